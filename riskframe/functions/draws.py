@@ -23,15 +23,25 @@ def hash32(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts: Column | str) -> Column:
+    """Unsigned 60-bit integer, for picking among more rows than 32 bits can address."""
+    text = F.concat_ws(":", *[as_col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(*parts: Column | str) -> Column:
     """Uniform number in [0, 1)."""
     return hash32(*parts) / F.lit(U32)
 
 
-def poisson1(*parts: Column | str) -> Column:
-    """Poisson(1) count by inversion of a hashed uniform."""
-    u = uniform(*parts)
+def poisson1_from(u: Column) -> Column:
+    """Poisson(1) count by inversion of a uniform number."""
     out = F.lit(0)
     for cut in POISSON1_CDF:
         out = out + (u >= cut).cast("int")
     return out
+
+
+def word(digest: Column, i: Column) -> Column:
+    """The i-th (0..3) 32-bit word of an md5 hex digest as a uniform number."""
+    return F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint") / F.lit(U32)

@@ -26,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once, keep it in the checkpoint folder, and continue from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even partitions over all cores ahead of a step that multiplies rows.
+
+    The number is stated, so small inputs are not merged back into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -75,7 +75,9 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
         if sql is not None:
             body = sql.strip()
-            if body[:5].upper() == "WITH ":
+            if body.upper().startswith("WITH RECURSIVE "):
+                ORACLE[name] = f"WITH RECURSIVE {ADM_SQL},\n{body[15:]}"
+            elif body[:5].upper() == "WITH ":
                 ORACLE[name] = f"WITH {ADM_SQL},\n{body[5:]}"
             else:
                 ORACLE[name] = f"WITH {ADM_SQL}\n{body}"
