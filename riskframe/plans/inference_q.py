@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import POISSON1_CDF
+from ..functions.draws import MASK, MULTIPLIERS, SEED_STEP, SHIFTS, poisson_cdf
 from ..operators import draws as dr, inference as inf, resample, summarize as a, survey
 from .registry import query
 from .summaries_q import SUMMARY_SQL, rounded
@@ -82,12 +82,33 @@ def _(t):
     return rounded(inf.kruskal(e, "value", "grp"), "statistic", "p_value")
 
 
-def h32(text):
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+def h32(text, at=1):
+    return f"('0x' || substr(md5({text}), {at}, 8))::BIGINT"
+
+
+def mix_sql(src, expr, out):
+    """The 31-bit scrambling as nested selects."""
+    inner = f"SELECT *, ({expr})::BIGINT AS z FROM {src}"
+    for shift, factor in zip(SHIFTS, MULTIPLIERS):
+        inner = f"SELECT * REPLACE ((xor(z, z >> {shift}) * {factor}) & {MASK} AS z) FROM ({inner})"
+    return f"(SELECT * EXCLUDE (z), xor(z, z >> {SHIFTS[-1]}) AS {out} FROM ({inner}))"
+
+
+def draw_sql(src, seed, out, lane=0):
+    """31 bits per row of src, which has a, b and rep."""
+    base = f"({seed * SEED_STEP + 2 * lane} + rep * 16) & {MASK}"
+    one = mix_sql(mix_sql(src, base, "r1"), f"(({base}) + 1) & {MASK}", "r2")
+    last = mix_sql(mix_sql(one, "xor(a, r1)", "m"), "xor(xor(m, b), r2)", out)
+    return f"(SELECT * EXCLUDE (r1, r2, m) FROM {last})"
+
+
+def words_sql(key):
+    return f"{h32(key)} & {MASK} AS a, {h32(key, 9)} & {MASK} AS b"
 
 
 PERM_SQL = f"""e AS (SELECT entity, avg(outcome)::DOUBLE AS y, CASE WHEN sum(cohort) >= 12 THEN 1 ELSE 0 END AS g FROM adm GROUP BY entity),
-p AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {h32("'7:' || rep || ':' || entity")}, entity) AS rn FROM e, range(1, 201) r(rep)),
+x AS (SELECT entity, y, rep, {words_sql('entity::VARCHAR')} FROM e, range(1, 201) r(rep)),
+p AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY h, entity) AS rn FROM {draw_sql('x', 7, 'h')}),
 nul AS (SELECT rep, avg(CASE WHEN rn <= (SELECT sum(g) FROM e) THEN y END) - avg(CASE WHEN rn > (SELECT sum(g) FROM e) THEN y END) AS stat FROM p GROUP BY rep)"""
 
 
@@ -108,7 +129,8 @@ def _(t):
 
 
 @query("i5_permutation_cases", f"""WITH e AS (SELECT case_id, cohort, outcome FROM adm),
-p AS (SELECT rep, outcome, row_number() OVER (PARTITION BY rep ORDER BY {h32("'11:' || rep || ':' || case_id")}, case_id) AS rn FROM e, range(1, 11) r(rep)),
+x AS (SELECT case_id, outcome, rep, {words_sql('case_id')} FROM e, range(1, 11) r(rep)),
+p AS (SELECT rep, outcome, row_number() OVER (PARTITION BY rep ORDER BY h, case_id) AS rn FROM {draw_sql('x', 11, 'h')}),
 k AS (SELECT sum(cohort) AS n1 FROM e)
 SELECT CAST(rep AS INTEGER) AS rep, round(avg(CASE WHEN rn <= n1 THEN outcome END) - avg(CASE WHEN rn > n1 THEN outcome END), 8) AS stat FROM p, k GROUP BY rep""")
 def _(t):
@@ -124,10 +146,19 @@ def rr_from(rows, weight):
  sum(CASE WHEN cohort = 1 THEN outcome * {weight} END)::DOUBLE AS o1, sum(CASE WHEN cohort = 1 THEN risk * {weight} END) AS e1 FROM {rows} GROUP BY rep, entity)"""
 
 
-BOOT_SQL = f"""idx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY {h32('case_id')} % 4096, md5(case_id), case_id) - 1 AS idx, count(*) OVER (PARTITION BY cohort) AS n FROM adm),
-picks AS (SELECT rep, cohort, ('0x' || substr(md5('2940:' || rep || ':' || cohort || ':' || idx), 1, 15))::BIGINT % n AS idx FROM idx, range(1, {BOOT_REPS + 1}) r(rep)),
-drawn AS (SELECT rep, i.* FROM picks p JOIN idx i ON p.cohort = i.cohort AND p.idx = i.idx),
-boot AS ({rr_from('(SELECT 0 AS rep, * FROM adm)', '1')} UNION ALL {rr_from('drawn', '1')})"""
+ROWS_SQL = f"""rows AS MATERIALIZED (SELECT case_id, entity, cohort, outcome, risk, {words_sql('case_id')},
+ row_number() OVER (PARTITION BY cohort ORDER BY {h32('case_id')} % 4096, md5(case_id), case_id) - 1 AS idx FROM adm),
+x AS (SELECT * FROM rows, range(1, {BOOT_REPS + 1}) r(rep))"""
+U = f"(SELECT *, u31 / 2147483648.0::DOUBLE AS u FROM {draw_sql('x', 2940, 'u31')})"
+BOOT_SQL = f"""{ROWS_SQL},
+size AS MATERIALIZED (SELECT cohort, n, list_transform(range(0, 20), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-lam + i * ln(lam) - lgamma(i + 1))))) AS cdf
+ FROM (SELECT cohort, count(*) AS n, 1 - 6 / sqrt(count(*)) AS lam FROM adm GROUP BY cohort)),
+main AS MATERIALIZED (SELECT rep, entity, cohort, outcome, risk, w FROM (SELECT u.*, len(list_filter(cdf, lambda c: c <= u)) AS w FROM {U} u JOIN size USING (cohort)) WHERE w > 0),
+slots AS (SELECT rep, cohort, n, (2 * slot + cohort) & {MASK} AS a, slot >> 30 AS b FROM
+ (SELECT rep, cohort, n, unnest(range(1, CAST(n - t + 1 AS BIGINT))) AS slot FROM (SELECT rep, cohort, sum(w) AS t FROM main GROUP BY rep, cohort) JOIN size USING (cohort))),
+picks AS (SELECT rep, cohort, (hi * 2147483648 + lo) % n AS idx FROM {draw_sql(draw_sql('slots', 2940, 'hi', 1), 2940, 'lo', 2)}),
+extra AS (SELECT p.rep, i.entity, i.cohort, i.outcome, i.risk, 1 AS w FROM picks p JOIN rows i ON p.cohort = i.cohort AND p.idx = i.idx),
+boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM adm)', 'w')} UNION ALL {rr_from('(SELECT * FROM main UNION ALL SELECT * FROM extra)', 'w')})"""
 
 
 def boot(t):
@@ -139,9 +170,9 @@ def _(t):
     return rounded(boot(t), "rr", digits=8)
 
 
-CDF = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON1_CDF)
-POIS_SQL = f"""u AS (SELECT rep, adm.*, ('0x' || substr(md5('2940:' || (rep - 1) // 4 || ':' || case_id), 1 + 8 * ((rep - 1) % 4), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM adm, range(1, {BOOT_REPS + 1}) r(rep)),
-w AS (SELECT *, {CDF} AS w FROM u), boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM adm)', 'w')} UNION ALL {rr_from('(SELECT * FROM w WHERE w > 0)', 'w')})"""
+CDF = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in poisson_cdf(1.0))
+POIS_SQL = f"""{ROWS_SQL}, w AS (SELECT *, {CDF} AS w FROM {U}),
+boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM adm)', 'w')} UNION ALL {rr_from('(SELECT * FROM w WHERE w > 0)', 'w')})"""
 
 
 @query("i6_bootstrap_poisson", f"WITH {POIS_SQL} SELECT CAST(rep AS INTEGER) AS rep, entity, round(rr, 8) AS rr FROM boot")
@@ -149,7 +180,7 @@ def _(t):
     return rounded(resample.bootstrap_rr(t.adm("case_id", *CORE), reps=BOOT_REPS, method="poisson"), "rr", digits=8)
 
 
-@query("i7_bootstrap_summary", f"WITH {BOOT_SQL}, s AS ({SUMMARY_SQL} FROM boot GROUP BY entity), x AS (SELECT entity, round(avg(CASE WHEN rr >= 2 THEN 1.0 WHEN rr < 2 THEN 0.0 END), 6) AS exceed FROM boot GROUP BY entity) SELECT s.*, exceed FROM s JOIN x USING (entity)")
+@query("i7_bootstrap_summary", f"WITH {BOOT_SQL}, s AS ({SUMMARY_SQL} FROM boot GROUP BY entity), ex AS (SELECT entity, round(avg(CASE WHEN rr >= 2 THEN 1.0 WHEN rr < 2 THEN 0.0 END), 6) AS exceed FROM boot GROUP BY entity) SELECT s.*, exceed FROM s JOIN ex USING (entity)")
 def _(t):
     reps = boot(t)
     out = a.summarize_replicates(reps).join(a.exceed_prob(reps, 2.0), "entity")
