@@ -69,3 +69,18 @@ def n_distinct_with_null(c: Column | str) -> Column:
     """Distinct count in which NULL is one more value."""
     c = as_col(c)
     return F.count_distinct(c) + F.max(c.isNull().cast("bigint"))
+
+
+def complete(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+    """Rows without NULL or NaN in the columns (all by default).
+
+    One condition per column: the optimizer's constraint inference grows exponentially over a single
+    condition that names many derived columns, which is what `dropna` makes.
+    """
+    kinds = dict(df.dtypes)
+    keep = None
+    for c in (list(cols) if cols is not None else df.columns):
+        col = F.col(f"`{c}`")
+        ok = col.isNotNull() & ~F.isnan(col) if kinds[c] in ("double", "float") else col.isNotNull()
+        keep = ok if keep is None else keep & ok
+    return df if keep is None else df.filter(keep)

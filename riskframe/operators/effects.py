@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.nulls import complete
 from ..functions.scalar import expit, logit
 from ..lineage import cut
 from .features import levels_of
@@ -50,7 +51,7 @@ class EntityFit:
 
 def _cells(df: DataFrame, keys: Sequence[str], covars: Sequence[str], outcome: str) -> DataFrame:
     cols = list(dict.fromkeys([*keys, *covars]))
-    d = df.select(*cols, F.col(outcome).cast("double").alias("_y")).dropna()
+    d = complete(df.select(*cols, F.col(outcome).cast("double").alias("_y")))
     return d.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("d"))
 
 

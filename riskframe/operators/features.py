@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import hash32, uniform
+from ..functions.nulls import complete
 from ..lineage import cut
 from .ordered import row_index, running_sums
 
@@ -51,7 +52,7 @@ def design_matrix(df: DataFrame, terms: Sequence[str], factors: Sequence[str], r
 
     Rows with a NULL in any term are left out; the row id stays for joining scores back.
     """
-    d = df.select(row_id, *keep, *terms).dropna("any", subset=list(terms))
+    d = complete(df.select(row_id, *keep, *terms), terms)
     levels = levels or levels_of(d, factors)
     cols, seen = [], False
     for c in terms:

@@ -15,6 +15,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, Generali
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.nulls import complete
 from ..functions.scalar import recode
 from ..lineage import cut
 from .features import assign_folds
@@ -32,7 +33,7 @@ def fit_risk_gbt(df: DataFrame, features: Sequence[str], label: str, rounds: int
                  step: float = 0.1, seed: int = 2049) -> PipelineModel:
     """Boosted trees for the risk of every case."""
     gbt = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed,
-                        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_class")
+                        predictionCol="_class").setProbabilityCol("_prob").setRawPredictionCol("_raw")
     return Pipeline(stages=[_assembler(features), gbt]).fit(df)
 
 
@@ -43,7 +44,7 @@ def fit_counterfactual(df: DataFrame, features: Sequence[str], label: str, cohor
     marked = df.withColumn("_held", F.col(cohort) == 1)
     gbt = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed,
                         minInfoGain=min_gain, validationIndicatorCol="_held", validationTol=stop_tol,
-                        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_class")
+                        predictionCol="_class").setProbabilityCol("_prob").setRawPredictionCol("_raw")
     return Pipeline(stages=[_assembler(features), gbt]).fit(marked)
 
 
@@ -157,7 +158,7 @@ def fit_logit(df: DataFrame, formula: str) -> PipelineModel:
     """
     label = formula.split("~")[0].strip()
     used = [c for c in df.columns if c in set(re.findall(r"\w+", formula)) and c != label]
-    cells = cut(df.select(label, *used).dropna().groupBy(*used).agg(
+    cells = cut(complete(df.select(label, *used)).groupBy(*used).agg(
         F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_weight")))
     prep = RFormula(formula=formula, featuresCol="_features", labelCol="_label", stringIndexerOrderType="alphabetDesc",
                     forceIndexLabel=False)
@@ -195,7 +196,7 @@ def fit_tree(df: DataFrame, y: str, x: Sequence[str], task: str = "regression",
     """One tree on an entity table: regression, or classification of text or 0/1 classes."""
     common = dict(featuresCol="_features", maxDepth=depth, minInstancesPerNode=max(1, round(min_split / 3)),
                   minInfoGain=min_gain, seed=seed)
-    clean = df.dropna("any", subset=[y, *x])
+    clean = complete(df, [y, *x])
     if task == "regression":
         stages = [_assembler(x), DecisionTreeRegressor(labelCol=y, predictionCol="_mean", **common)]
     elif task == "class":
@@ -215,7 +216,7 @@ def class_labels(model: PipelineModel) -> list[str]:
 
 def fit_entity_rf(df: DataFrame, y: str, x: Sequence[str], trees: int = 500, seed: int = 1) -> PipelineModel:
     """Forest on the entity table with a third of the features per split."""
-    return fit_risk_rf(df.dropna("any", subset=[y, *x]), x, y, trees, 5, 10, "onethird", seed)
+    return fit_risk_rf(complete(df, [y, *x]), x, y, trees, 5, 10, "onethird", seed)
 
 
 def default_estimators(label: str) -> dict[str, Estimator]:
@@ -230,8 +231,8 @@ def cv_compare(train: DataFrame, other: DataFrame, features: Sequence[str], labe
                parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
     """Repeated cross-validated RMSE of several regressors, and the other table with their predictions."""
     estimators = estimators or default_estimators(label)
-    base = cut(_assembler(features).transform(train.dropna("any", subset=[label, *features])))
-    scored = _assembler(features).transform(other.dropna("any", subset=list(features)))
+    base = cut(_assembler(features).transform(complete(train, [label, *features])))
+    scored = _assembler(features).transform(complete(other, features))
     metric = RegressionEvaluator(labelCol=label, predictionCol="_pred", metricName="rmse")
     rows = []
     for name, est in estimators.items():
@@ -254,7 +255,7 @@ def fit_logit_counts(df: DataFrame, dead: str, alive: str, features: Sequence[st
     """Penalised logistic regression on counts: two weighted rows per entity, penalty by cross-validated AUC."""
     two = F.inline(F.array(F.struct(F.lit(1.0).alias("_y"), F.col(dead).cast("double").alias("_w")),
                            F.struct(F.lit(0.0).alias("_y"), F.col(alive).cast("double").alias("_w"))))
-    rows = (df.dropna("any", subset=[dead, alive, *features]).select(key, *features, two).filter(F.col("_w") > 0)
+    rows = (complete(df, [dead, alive, *features]).select(key, *features, two).filter(F.col("_w") > 0)
             .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")))
     stage = _assembler(features)
     lr = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="_w", probabilityCol="_prob",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nulls import as_col
+from ..functions.nulls import as_col, complete
 from ..functions.scalar import cut_bins, paste
 from .ordered import quantiles
 
@@ -102,7 +102,7 @@ def flag_in(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
 
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows without NULL or NaN in the columns (all by default)."""
-    return df.dropna("any", subset=list(columns) if columns else None)
+    return complete(df, columns)
 
 
 def across(df: DataFrame, columns: Iterable[str], fn: Callable[[Column], Column]) -> DataFrame:

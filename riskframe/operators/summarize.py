@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.nulls import aggregate, n_distinct_with_null
+from ..functions.nulls import aggregate, complete, n_distinct_with_null
 from ..functions.scalar import cut_bins, fmt_mean_sd
 from .ordered import quantiles
 
@@ -182,7 +182,7 @@ def quantile_table(df: DataFrame, col: str, probs: Sequence[float], name: str =
 
 def weighted_corr(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
     """Weighted Pearson correlation over complete rows, centred at the weighted means."""
-    d = df.select(*[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "w"))]).dropna()
+    d = complete(df.select(*[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "w"))]))
     means = d.agg(F.struct((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
                            (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))).scalar()
     dx, dy = F.col("x") - means["mx"], F.col("y") - means["my"]

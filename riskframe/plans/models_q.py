@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..functions.nulls import complete
+from ..lineage import cut, spread
 from ..operators import effects as fx, evaluate as e, features as f, models as m, standardize as d, summarize as a
 from ..sources.schema import ATTRIBUTES, FAILURES
 from .registry import query
@@ -20,9 +21,9 @@ LABELS = {"age": "Age", "ses_1": "SES Q1", "ses_2": "SES Q2", "ses_3": "SES Q3",
 
 def matrix(t):
     """Complete rows with one-hot socio-economic quartiles."""
-    df = t.adm("case_id", "entity", "cohort", "outcome", "ses", *PLAIN).dropna()
+    df = complete(t.adm("case_id", "entity", "cohort", "outcome", "ses", *PLAIN))
     wide = f.dummies_full(df, ["ses"], {"ses": [1, 2, 3, 4]})
-    return cut(wide.toDF(*[c.replace(".", "_") for c in wide.columns]))
+    return cut(spread(wide.toDF(*[c.replace(".", "_") for c in wide.columns]), "case_id"))
 
 
 def quality(df, name):
@@ -95,7 +96,7 @@ def _(t):
 
 @query("m6_fit_logit_adjusted")
 def _(t):
-    df = t.adm("outcome", "age_cat", "payer", "vent", "period").dropna().withColumn("age_cat", F.col("age_cat").cast("string"))
+    df = complete(t.adm("outcome", "age_cat", "payer", "vent", "period")).withColumn("age_cat", F.col("age_cat").cast("string"))
     return rounded(m.coef_table(m.fit_logit(df, "outcome ~ age_cat + payer + vent + period"), df), "estimate", "std_error", "z", "p_value", digits=4)
 
 
@@ -154,7 +155,7 @@ TREE_X = [*ATTRIBUTES, "rate", "cases_yr", "cohort_cases_yr"]
 def _(t):
     df = entity_table(t)
     model = m.fit_tree(df, "rr", TREE_X, depth=3)
-    out = model.transform(df.dropna("any", subset=["rr", *TREE_X])).groupBy(F.round("_mean", 4).alias("node_mean"))
+    out = model.transform(complete(df, ["rr", *TREE_X])).groupBy(F.round("_mean", 4).alias("node_mean"))
     return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rr"), 4).alias("mean_rr"))
 
 
@@ -169,7 +170,7 @@ def _(t):
     df = entity_table(t)
     df = d.quadrants(df.withColumn("oe_ratio", F.col("rr"))).drop("rel_class", "abs_class")
     model = m.fit_tree(df, "quadrant", TREE_X, task="class", depth=5, min_split=10)
-    return model.transform(df.dropna("any", subset=["quadrant", *TREE_X])).groupBy("quadrant", F.col("_code").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return model.transform(complete(df, ["quadrant", *TREE_X])).groupBy("quadrant", F.col("_code").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m12_fit_entity_rf")

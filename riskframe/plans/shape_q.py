@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.nulls import complete
 from ..operators import join as j, order as o, ordered, reshape as r, summarize as a
 from .registry import query
 
@@ -94,7 +95,7 @@ def _(t):
 @query("j9_attach_scores", "SELECT entity, CAST(count(*) AS BIGINT) AS n, round(sum(risk), 6) AS expect FROM adm WHERE ses IS NOT NULL AND comorb IS NOT NULL GROUP BY entity")
 def _(t):
     df = t.adm("case_id", "entity")
-    scored = t.adm("case_id", "ses", "comorb", "risk").dropna().select("case_id", "risk")
+    scored = complete(t.adm("case_id", "ses", "comorb", "risk")).select("case_id", "risk")
     return j.attach_scores(df, scored, "case_id").groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("risk"), 6).alias("expect"))
 
