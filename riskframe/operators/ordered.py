@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..lineage import cut
 
@@ -89,18 +89,15 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
               .agg(F.count(F.lit(1)).alias("_n")))
     run = running_sums(counts, "_v", ["_n"], by)
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("prev__n") <= rank) & (rank < F.col("prev__n") + F.col("_n"))
-        return F.max(F.when(hit, F.col("_v")))
-
     aggs = []
     for i, p in enumerate(probs):
-        h = (F.col("all__n") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"),
-                 F.max(h - F.floor(h)).alias(f"_f{i}")]
-    out = run.groupBy(*by).agg(*aggs)
-    return out.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}"))
-                             .alias(nm) for i, nm in enumerate(names)])
+        h = f"(all__n - 1) * {float(p)!r}D"
+        for name, rank in (("lo", f"floor({h})"), ("hi", f"ceil({h})")):
+            aggs.append(f"max(CASE WHEN prev__n <= {rank} AND {rank} < prev__n + _n THEN _v END) AS _{name}{i}")
+        aggs.append(f"max({h} - floor({h})) AS _f{i}")
+    out = run.groupBy(*by).agg(*[F.expr(a) for a in aggs])
+    return out.selectExpr(*[f"`{b}`" for b in by],
+                          *[f"_lo{i} + (_hi{i} - _lo{i}) * _f{i} AS `{nm}`" for i, nm in enumerate(names)])
 
 
 def midranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -40,19 +40,24 @@ def transpose(df: DataFrame, name_col: str, levels: Sequence, new_name: str = "v
 
 
 def nest_by(df: DataFrame, key: str | Sequence[str], chunk: int = 10_000) -> DataFrame:
-    """Rows of a key as arrays of about `chunk` rows; a large key gets several numbered arrays."""
+    """Rows of a key as arrays of about `chunk` distinct rows; a large key gets several numbered arrays.
+
+    Equal rows are counted before they are collected: each element carries its number of copies.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_chunks"))
+    counted = df.groupBy(*keys, *rest).agg(F.count(F.lit(1)).alias("copies"))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_chunks"))
     part = F.pmod(F.xxhash64(*rest), F.col("_chunks")).cast("int")
-    return (df.join(sizes, keys).withColumn("part", part)
-            .groupBy(*keys, "part").agg(F.collect_list(F.struct(*rest)).alias("data")))
+    return (counted.join(sizes, keys).withColumn("part", part)
+            .groupBy(*keys, "part").agg(F.collect_list(F.struct(*rest, "copies")).alias("data")))
 
 
 def unnest(df: DataFrame, column: str = "data") -> DataFrame:
-    """Back to one row per nested element."""
+    """Back to one row per nested row."""
     keep = [c for c in df.columns if c not in (column, "part")]
-    return df.select(*keep, F.explode(column).alias("_e")).select(*keep, "_e.*")
+    flat = df.select(*keep, F.explode(column).alias("_e")).select(*keep, "_e.*")
+    return flat.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_i", "copies")
 
 
 def apply_by(df: DataFrame, levels: Mapping[str, object], column: str,

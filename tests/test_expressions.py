@@ -98,6 +98,13 @@ def test_nest_splits_a_large_key_and_unnests(spark):
     assert sorted(map(tuple, reshape.unnest(nested).collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_nest_counts_copies_of_equal_rows(spark):
+    df = spark.range(600).select(F.lit(1).alias("k"), F.when(F.col("id") < 500, -1).otherwise(F.col("id")).alias("v"))
+    nested = reshape.nest_by(df, "k")
+    assert nested.agg(F.sum(F.size("data"))).first()[0] == 101
+    assert sorted(map(tuple, reshape.unnest(nested).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_crosstab_margins_and_na_level(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), (None, 1), ("b", 1)], "v string, y int")
     cols = {r.value: (r["0"], r["1"]) for r in summarize.crosstab_pct(df, ["v"], "y", [0, 1]).collect()}
