@@ -146,7 +146,8 @@ def rr_from(rows, weight):
  sum(CASE WHEN cohort = 1 THEN outcome * {weight} END)::DOUBLE AS o1, sum(CASE WHEN cohort = 1 THEN risk * {weight} END) AS e1 FROM {rows} GROUP BY rep, entity)"""
 
 
-ROWS_SQL = f"""rows AS MATERIALIZED (SELECT case_id, entity, cohort, outcome, risk, {words_sql('case_id')},
+# Risk in whole thousandths: its sums are exact in any order, and the unit cancels in the ratio.
+ROWS_SQL = f"""rows AS MATERIALIZED (SELECT case_id, entity, cohort, outcome, round(risk * 1000) AS risk, {words_sql('case_id')},
  row_number() OVER (PARTITION BY cohort ORDER BY {h32('case_id')} % 4096, md5(case_id), case_id) - 1 AS idx FROM adm),
 x AS (SELECT * FROM rows, range(1, {BOOT_REPS + 1}) r(rep))"""
 U = f"(SELECT *, u31 / 2147483648.0::DOUBLE AS u FROM {draw_sql('x', 2940, 'u31')})"
@@ -158,11 +159,12 @@ slots AS (SELECT rep, cohort, n, (2 * slot + cohort) & {MASK} AS a, slot >> 30 A
  (SELECT rep, cohort, n, unnest(range(1, CAST(n - t + 1 AS BIGINT))) AS slot FROM (SELECT rep, cohort, sum(w) AS t FROM main GROUP BY rep, cohort) JOIN size USING (cohort))),
 picks AS (SELECT rep, cohort, (hi * 2147483648 + lo) % n AS idx FROM {draw_sql(draw_sql('slots', 2940, 'hi', 1), 2940, 'lo', 2)}),
 extra AS (SELECT p.rep, i.entity, i.cohort, i.outcome, i.risk, 1 AS w FROM picks p JOIN rows i ON p.cohort = i.cohort AND p.idx = i.idx),
-boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM adm)', 'w')} UNION ALL {rr_from('(SELECT * FROM main UNION ALL SELECT * FROM extra)', 'w')})"""
+boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM rows)', 'w')} UNION ALL {rr_from('(SELECT * FROM main UNION ALL SELECT * FROM extra)', 'w')})"""
 
 
-def boot(t):
-    return resample.bootstrap_rr(t.adm("case_id", *CORE), reps=BOOT_REPS)
+def boot(t, method="exact"):
+    cases = t.adm("case_id", *CORE).withColumn("risk", F.round(F.col("risk") * 1000))
+    return resample.bootstrap_rr(cases, reps=BOOT_REPS, method=method)
 
 
 @query("i6_bootstrap_rr", f"WITH {BOOT_SQL} SELECT CAST(rep AS INTEGER) AS rep, entity, round(rr, 8) AS rr FROM boot")
@@ -172,12 +174,12 @@ def _(t):
 
 CDF = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in poisson_cdf(1.0))
 POIS_SQL = f"""{ROWS_SQL}, w AS (SELECT *, {CDF} AS w FROM {U}),
-boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM adm)', 'w')} UNION ALL {rr_from('(SELECT * FROM w WHERE w > 0)', 'w')})"""
+boot AS ({rr_from('(SELECT 0 AS rep, *, 1 AS w FROM rows)', 'w')} UNION ALL {rr_from('(SELECT * FROM w WHERE w > 0)', 'w')})"""
 
 
 @query("i6_bootstrap_poisson", f"WITH {POIS_SQL} SELECT CAST(rep AS INTEGER) AS rep, entity, round(rr, 8) AS rr FROM boot")
 def _(t):
-    return rounded(resample.bootstrap_rr(t.adm("case_id", *CORE), reps=BOOT_REPS, method="poisson"), "rr", digits=8)
+    return rounded(boot(t, "poisson"), "rr", digits=8)
 
 
 @query("i7_bootstrap_summary", f"WITH {BOOT_SQL}, s AS ({SUMMARY_SQL} FROM boot GROUP BY entity), ex AS (SELECT entity, round(avg(CASE WHEN rr >= 2 THEN 1.0 WHEN rr < 2 THEN 0.0 END), 6) AS exceed FROM boot GROUP BY entity) SELECT s.*, exceed FROM s JOIN ex USING (entity)")
