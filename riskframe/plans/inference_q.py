@@ -66,7 +66,7 @@ r AS (SELECT variable, g, rank() OVER (PARTITION BY variable ORDER BY value) + (
  count(*) OVER (PARTITION BY variable, value)::DOUBLE AS tie FROM l),
 s AS (SELECT variable, sum(CASE WHEN g = 0 THEN r END) AS r0, sum(1 - g)::DOUBLE AS n0, sum(g)::DOUBLE AS n1, count(*)::DOUBLE AS n, sum(tie * tie - 1) AS ties FROM r GROUP BY variable),
 w AS (SELECT *, r0 - n0 * (n0 + 1) / 2 AS w FROM s),
-z AS (SELECT variable, w, (w - n0 * n1 / 2 - sign(w - n0 * n1 / 2) * 0.5) / sqrt(n0 * n1 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM w)
+z AS (SELECT variable, w, (w - n0 * n1 / 2 - sign(w - n0 * n1 / 2) * 0.5) / nullif(sqrt(n0 * n1 / 12 * ((n + 1) - ties / (n * (n - 1)))), 0) AS z FROM w)
 SELECT variable, round(w, 6) AS w, round(z, 6) AS z, round({P_NORMAL}, 6) AS p_value FROM z""")
 def _(t):
     return rounded(inf.wilcoxon_by(entity_long(t), "value", "g", "variable"), "w", "z", "p_value")
@@ -123,7 +123,7 @@ def _(t):
 
 
 @query("i5_permutation_test", f"""WITH {PERM_SQL}, o AS (SELECT avg(CASE WHEN g = 1 THEN y END) - avg(CASE WHEN g = 0 THEN y END) AS obs FROM e)
-SELECT round(max(obs), 6) AS observed, round(least(1.0, 2 * least(avg((stat >= obs)::INT), avg((stat <= obs)::INT))), 6) AS p_value FROM nul, o""")
+SELECT round(max(obs), 6) AS observed, CASE WHEN max(obs) IS NOT NULL THEN round(least(1.0, 2 * least(avg((stat >= obs)::INT), avg((stat <= obs)::INT))), 6) END AS p_value FROM nul, o""")
 def _(t):
     return rounded(inf.permutation_test(perm_table(t), "entity", "y", "g", 200, 7), "observed", "p_value")
 

@@ -201,8 +201,10 @@ def _(t):
     return o.order_levels(entity_rates(t).drop("rate"), "entity", "n_case").select("entity", "n_case", "position")
 
 
-@query("w4_margin_share", """SELECT region, bedsize, round(n / sum(n) OVER (PARTITION BY region), 6) AS row_share, round(n / sum(n) OVER (PARTITION BY bedsize), 6) AS col_share
-FROM (SELECT region, bedsize, count(*)::DOUBLE AS n FROM adm GROUP BY ALL)""")
+@query("w4_margin_share", """WITH c AS (SELECT region, bedsize, count(*)::DOUBLE AS n FROM adm GROUP BY ALL),
+g AS (SELECT r.region, b.bedsize, coalesce(n, 0) AS n FROM (SELECT DISTINCT region FROM c) r CROSS JOIN (SELECT unnest([1, 2, 3]) AS bedsize) b
+ LEFT JOIN c ON c.region = r.region AND c.bedsize = b.bedsize)
+SELECT region, bedsize, round(n / sum(n) OVER (PARTITION BY region), 6) AS row_share, round(n / sum(n) OVER (PARTITION BY bedsize), 6) AS col_share FROM g""")
 def _(t):
     df = t.adm("region", "bedsize")
     parts = [a.crosstab_pct(df, ["region"], "bedsize", [1, 2, 3], margin=m, digits=12).unpivot(
