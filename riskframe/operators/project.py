@@ -137,6 +137,15 @@ def as_levels(df: DataFrame, column: str, levels: Levels) -> DataFrame:
     return labelled.withMetadata(column, {"levels": list(levels.labels)})
 
 
+def recode_from(df: DataFrame, column: str, mapping: DataFrame, keep_other: bool = False) -> DataFrame:
+    """Recode by a lookup table (old, new) of any size; unmapped values become NULL unless kept."""
+    old, new = mapping.columns
+    table = mapping.select(F.col(old).alias("_old"), F.col(new).alias("_new"))
+    found = F.coalesce(F.col("_new"), F.col(column)) if keep_other else F.col("_new")
+    out = df.join(table, F.col(column) == F.col("_old"), "left")
+    return out.withColumn(column, found).drop("_old", "_new")
+
+
 def collapse_levels(c: Column | str, from_code: int, other: str = "other") -> Column:
     """Codes at or above a limit become one label; NULL stays NULL."""
     c = as_col(c)

@@ -128,6 +128,13 @@ def _(t):
     return df.groupBy("region", "ses").agg(n())
 
 
+@query("p16_recode_from", f"SELECT n_name AS place, {N} FROM adm JOIN nation ON stratum = n_nationkey GROUP BY n_name")
+def _(t):
+    names = t.table("nation").select(F.col("n_nationkey").cast("string"), "n_name")
+    df = t.adm("stratum").select(F.col("stratum").cast("string").alias("place"))
+    return p.recode_from(df, "place", names).groupBy("place").agg(n())
+
+
 @query("p17_across", f"SELECT vent::VARCHAR AS vent, f_cardiac::VARCHAR AS f_cardiac, male::VARCHAR AS male, {N} FROM adm GROUP BY ALL")
 def _(t):
     cols = ["vent", "f_cardiac", "male"]

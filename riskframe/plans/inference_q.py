@@ -219,6 +219,7 @@ def _(t):
     return rounded(svy(t), "mean", "se")
 
 
+# Row order and display names of the survey table.
 SVY_ORDER = ["age", "female", "vent", "comorb", "medicare", "medicaid", "private", "otherins"]
 SVY_LABELS = {"age": "Age", "female": "Female", "vent": "Ventilator", "comorb": "Comorbidity Score", "medicare": "Medicare",
               "medicaid": "Medicaid", "private": "Private Ins", "otherins": "Other Ins"}

@@ -14,6 +14,7 @@ from .summaries_q import rounded
 PLAIN = ["age", "comorb", "male", "vent", *FAILURES]
 FEATURES = ["age", "ses.1", "ses.2", "ses.3", "ses.4", "comorb", "male", "vent", *FAILURES]
 NAMES = [c.replace(".", "_") for c in FEATURES]
+# Display names of the features.
 LABELS = {"age": "Age", "ses_1": "SES Q1", "ses_2": "SES Q2", "ses_3": "SES Q3", "ses_4": "SES Q4", "comorb": "Comorbidity Score",
           "male": "Male", "vent": "Respiratory dysfunction", "f_cardiac": "Cardiac dysfunction", "f_neuro": "Neurologic dysfunction",
           "f_heme": "Hematologic dysfunction", "f_liver": "Hepatic dysfunction", "f_renal": "Renal dysfunction", "cohort": "Case"}
