@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import checkpoint_dir, cut
+from .simhash import fingerprint_classes
+from .token_files import token_digests, write_token_files
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, where every executor can write and read."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def query(name: str, sql: str | None = None):
     """Register fn(table), where table(name) reads a table of the scale folder."""
     def register(fn: Callable[[Callable[[str], DataFrame]], DataFrame]):
@@ -22,5 +38,15 @@ def query(name: str, sql: str | None = None):
 
 @query("op3_simhash_classes")
 def _simhash(table):
-    from .simhash import fingerprint_classes
     return fingerprint_classes(table("documents"))
+
+
+@query("op6_token_files")
+def _token_files(table):
+    documents = table("documents")
+    spark = documents.sparkSession
+    folder = scratch(spark, "tokens")
+    write_token_files(documents, folder, public_tokenizers.path("word_bpe_49k.json"))
+    out = cut(token_digests(spark, folder).withColumnRenamed("id", "doc_id"))
+    discard(spark, folder)
+    return out
