@@ -11,7 +11,7 @@ import numpy as np
 from .word_cache import Cache, quiet_collector
 
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-_BLANKS = str.maketrans("\t\n\r", "   ")
+_LATIN = re.compile("[\x00-\xff]*").fullmatch  # lower-casing is by single letters there
 
 
 class WordTokens:
@@ -58,11 +58,11 @@ class WordTokens:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text. A-Z is lowered ahead unless that could make a special token, whose case matters."""
-        if text.isascii():
+        if _LATIN(text):
             low = text.lower()
             if not any(s in low for s in self.special):
                 text = low
-        pieces = text.translate(_BLANKS).split(" ")
+        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         self.pieces.trim()
         self.parts.trim()
         coded = self.pieces
