@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_dir, cut
+from . import language_id
 from .simhash import fingerprint_classes
 from .token_files import token_digests, write_token_files
 
@@ -36,6 +38,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def remainder(divisor: int):
+    """crc32 of doc_id as text, modulo divisor; a null id gives -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
+@query("op1_language_id")
+def _language_id(table):
+    documents = table("documents")
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    model = language_id.fit(documents.where(remainder(4) != 2).select("lang", "text"), vocabulary)
+    return (language_id.predict(documents.select("doc_id", "text"), model)
+            .select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
 @query("op3_simhash_classes")
 def _simhash(table):
     return fingerprint_classes(table("documents"))
