@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_dir, cut
 from . import language_id
+from .line_dedup import line_dedup
 from .simhash import fingerprint_classes
 from .token_files import token_digests, write_token_files
 
@@ -52,6 +53,30 @@ def _language_id(table):
             .select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score"))
 
 
+LINE_DEDUP_SQL = """
+WITH split AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS spot,
+                      unnest(string_split(text, chr(10))) AS line FROM documents),
+solid AS (SELECT doc_id, spot, trim(line, ' ') AS line,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS place FROM split WHERE trim(line, ' ') <> ''),
+pairs AS (SELECT doc_id, place, spot, lead(spot) OVER own AS next_spot, line, lead(line) OVER own AS next_line
+          FROM solid WINDOW own AS (PARTITION BY doc_id ORDER BY place)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, place) AS nth
+           FROM pairs WHERE next_line IS NOT NULL),
+gone AS (SELECT doc_id, spot FROM ranked WHERE nth > 1 UNION SELECT doc_id, next_spot FROM ranked WHERE nth > 1),
+kept AS (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.spot) AS text, count(*) AS lines
+         FROM split s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.spot = g.spot GROUP BY s.doc_id),
+lost AS (SELECT doc_id, count(*) AS lines FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, d.lang, d.source,
+       d.n_chars
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op2_line_dedup", LINE_DEDUP_SQL)
+def _line_dedup(table):
+    return line_dedup(table("documents"))
+
+
 @query("op3_simhash_classes")
 def _simhash(table):
     return fingerprint_classes(table("documents"))
