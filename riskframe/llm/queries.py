@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_dir, cut
 from . import language_id
+from .decontaminate import benchmark_hits
 from .line_dedup import line_dedup
 from .simhash import fingerprint_classes
 from .token_files import token_digests, write_token_files
@@ -82,6 +83,11 @@ def _simhash(table):
     return fingerprint_classes(table("documents"))
 
 
+@query("op5_benchmark_hits")
+def _benchmark_hits(table):
+    return benchmark_hits(table("documents"), table("benchmark"))
+
+
 @query("op6_token_files")
 def _token_files(table):
     documents = table("documents")
