@@ -13,6 +13,7 @@ from ..lineage import checkpoint_dir, cut
 from . import language_id
 from .decontaminate import benchmark_hits
 from .line_dedup import line_dedup
+from .pieces import encode_pieces
 from .simhash import fingerprint_classes
 from .token_files import token_digests, write_token_files
 
@@ -97,3 +98,10 @@ def _token_files(table):
     out = cut(token_digests(spark, folder).withColumnRenamed("id", "doc_id"))
     discard(spark, folder)
     return out
+
+
+@query("op8_pieces")
+def _pieces(table):
+    coded = encode_pieces(table("documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "ids_crc32",
+                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
