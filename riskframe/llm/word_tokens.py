@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 from .word_cache import Cache, quiet_collector
 
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_SPLIT_MARK = re.compile(r"[.,](?=\S)|(?:[^\w\s]|_)[.,]").search
 _LATIN = re.compile("[\x00-\xff]*").fullmatch  # lower-casing is by single letters there
 
 
@@ -34,6 +36,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.special = [t["content"] for t in config.get("added_tokens", [])]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -43,7 +46,7 @@ class WordTokens:
         quiet_collector()
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
@@ -62,6 +65,8 @@ class WordTokens:
             low = text.lower()
             if not any(s in low for s in self.special):
                 text = low
+        if not _SPLIT_MARK(text):  # every full stop and comma ends a word, and may as well be a piece of its own
+            text = text.replace(".", " .").replace(",", " ,")
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         self.pieces.trim()
         self.parts.trim()
