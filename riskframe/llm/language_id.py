@@ -49,19 +49,29 @@ class Vocabulary:
         usable = [p for p in pieces if p.strip(MARK) and _LETTERS(p.replace(MARK, "")) == [p.replace(MARK, "")]]
         self.number = {p: i + 1 for i, p in enumerate(dict.fromkeys(p.lower() for p in usable))}
         self.longest = max(map(len, self.number))
+        #: Piece numbers, and 0 for what only begins a piece.
+        self.begins = {p[:k]: 0 for p in self.number for k in range(1, len(p))} | self.number
 
     def spans(self, words: list[str]) -> np.ndarray:
         """Piece numbers (word, start, length - 1) of equally long marked words; -1 where there is no piece."""
         n = len(words[0])
-        out = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
-        get = self.number.get
-        for w, word in enumerate(words):
-            row = out[w]
+        width = min(n, self.longest)
+        out = np.full(len(words) * n * width, -1, np.int32)
+        get = self.begins.get
+        places, numbers = [], []
+        cell = 0
+        for word in words:
             for i in range(n):
-                for size in range(1, min(n - i, self.longest) + 1):
-                    piece = get(word[i:i + size])
-                    if piece is not None:
-                        row[i, size - 1] = piece
+                for end in range(i + 1, min(n, i + width) + 1):
+                    piece = get(word[i:end])
+                    if piece is None:
+                        break
+                    if piece:
+                        places.append(cell + end - i - 1)
+                        numbers.append(piece)
+                cell += width
+        out[places] = numbers
+        out = out.reshape(len(words), n, width)
         single = out[:, :, 0]
         single[single < 0] = 0
         return out
@@ -231,7 +241,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
             best, score = [], []
             for start in range(0, batch.num_rows, 500):
                 words = [words_of(t.as_py() or "") if languages else [] for t in batch.column(at).slice(start, 500)]
-                if len(place) > LIMIT:
+                if len(place) > 2 * LIMIT:
                     place.clear()
                     known = known[:0]
                 new = list(set().union(*words) - place.keys())
