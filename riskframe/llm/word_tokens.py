@@ -12,7 +12,7 @@ import numpy as np
 from .word_cache import Cache, quiet_collector
 
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-_SPLIT_MARK = re.compile(r"[.,](?=\S)|(?:[^\w\s]|_)[.,]").search
+_SPLIT_MARK = re.compile(r"[.,](?=[^ \n\t\r])|(?:[^\w \n\t\r]|_)[.,]").search
 _LATIN = re.compile("[\x00-\xff]*").fullmatch  # lower-casing is by single letters there
 
 
@@ -65,8 +65,8 @@ class WordTokens:
             low = text.lower()
             if not any(s in low for s in self.special):
                 text = low
-        if not _SPLIT_MARK(text):  # every full stop and comma ends a word, and may as well be a piece of its own
-            text = text.replace(".", " .").replace(",", " ,")
+            if not _SPLIT_MARK(text):  # every full stop and comma ends a word, and may as well be a piece of its own
+                text = text.replace(".", " .").replace(",", " ,")
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         self.pieces.trim()
         self.parts.trim()
