@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..lineage import checkpoint_dir, cut
 from . import language_id
 from .decontaminate import benchmark_hits
+from .license_scan import THRESHOLD, scan_licenses, templates
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
 from .simhash import fingerprint_classes
@@ -100,6 +101,34 @@ def _token_files(table):
     return out
 
 
+def _license_sql() -> str:
+    values = ", ".join("({}, '{}', '{}')".format(i, k, t.replace("'", "''")) for i, (k, t) in enumerate(templates()))
+    pairs = "list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2]))"
+    words = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+    return f"""
+WITH forms AS (SELECT form, license, CASE WHEN len(w) > 1 THEN {pairs} ELSE [] END AS b
+               FROM (SELECT form, license, {words.format("t")} AS w FROM (VALUES {values}) v(form, license, t))),
+lines AS (SELECT doc_id, 'line' AS scope, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS spot,
+                 unnest(string_split(text, chr(10))) AS t FROM documents),
+blocks AS (SELECT doc_id, 'block' AS scope,
+                  generate_subscripts(string_split_regex(text, '\n[ \t\r]*\n'), 1) - 1 AS spot,
+                  unnest(string_split_regex(text, '\n[ \t\r]*\n')) AS t FROM documents),
+units AS (SELECT doc_id, scope, spot, {words.format("t")} AS w
+          FROM (SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(trim(t, ' '), chr(10)))),
+sets AS (SELECT doc_id, scope, spot, {pairs} AS b FROM units WHERE len(w) > 1),
+near AS (SELECT doc_id, scope, spot, license,
+                (2 * len(list_intersect(s.b, f.b)))::DOUBLE / (len(s.b) + len(f.b)) AS dice
+         FROM sets s JOIN forms f ON len(s.b) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(f.b)
+                                 AND len(f.b) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(s.b))
+SELECT doc_id, scope, CAST(spot AS INTEGER) AS "at", first(license ORDER BY dice DESC, license) AS license,
+       max(dice) AS dice FROM near WHERE dice >= {THRESHOLD} GROUP BY doc_id, scope, spot"""
+
+
+@query("op7_license_scan", _license_sql())
+def _license_scan(table):
+    return scan_licenses(table("documents"))
+
+
 @query("op8_pieces")
 def _pieces(table):
     coded = encode_pieces(table("documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
