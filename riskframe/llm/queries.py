@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_dir, cut
-from . import language_id
+from . import language_id, quality_rank
 from .decontaminate import benchmark_hits
 from .license_scan import THRESHOLD, scan_licenses, templates
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
 from .simhash import fingerprint_classes
 from .token_files import token_digests, write_token_files
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +135,21 @@ def _pieces(table):
     coded = encode_pieces(table("documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "ids_crc32",
                         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+
+
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_toxicity")
+def _toxicity(table):
+    return _judged(toxicity(table("documents").select("doc_id", "text"), table("labels"), remainder(5) != 0), 0.5)
+
+
+@query("op10_quality_rank")
+def _quality_rank(table):
+    documents = table("documents").select("doc_id", "text")
+    known = table("labels").where(remainder(5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    model = quality_rank.fit(documents.join(known, "doc_id"))
+    return _judged(quality_rank.rank(documents, model), quality_rank.CUT)
