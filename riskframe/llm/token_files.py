@@ -22,6 +22,7 @@ from .word_tokens import WordTokens
 
 END_ID = 1
 FRAME_IDS = 200_000
+BATCH_ROWS = 500
 _FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
                     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 _FRAME_DDL = ("shard int, frame long, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -61,9 +62,16 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
         if ids:
             yield packed()
 
-    (documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-     .repartitionByRange("id").sortWithinPartitions("id", "text")
-     .mapInArrow(run, _FRAME_DDL).write.mode("errorifexists").parquet(folder))
+    # Short batches: a batch of long texts is held by the JVM and by Python at once, beside the sort.
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, BATCH_ROWS)
+    try:
+        (documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+         .repartitionByRange("id").sortWithinPartitions("id", "text")
+         .mapInArrow(run, _FRAME_DDL).write.mode("errorifexists").parquet(folder))
+    finally:
+        conf.set(name, usual)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

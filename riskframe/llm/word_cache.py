@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable
 
-LIMIT = 400_000
+LIMIT = 300_000
 
 
 class Cache(dict):

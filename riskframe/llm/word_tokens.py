@@ -12,8 +12,9 @@ import numpy as np
 from .word_cache import Cache, quiet_collector
 
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
-_SPLIT_MARK = re.compile(r"[.,](?=[^ \n\t\r])|(?:[^\w \n\t\r]|_)[.,]").search
-_LATIN = re.compile("[\x00-\xff]*").fullmatch  # lower-casing is by single letters there
+# Latin-1 letters, digits, blanks, full stops and commas: text of these alone lower-cases letter by letter.
+_SIMPLE = bytes(b for b in range(256) if chr(b).isalnum() or chr(b) in " \n\t\r.,")
+_RUNS = ("..", ".,", ",.", ",,")
 
 
 class WordTokens:
@@ -60,15 +61,27 @@ class WordTokens:
         return b"".join(self.parts[p] for p in plain.groups() if p)
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text. A-Z is lowered ahead unless that could make a special token, whose case matters."""
-        if _LATIN(text):
+        """The ids of a text.
+
+        Latin-1 texts are lowered ahead unless that could make a special token, whose case matters. Where stops and
+        commas are the only marks and stand alone, those ahead of a blank are made pieces of their own.
+        """
+        try:
+            other = text.encode("latin-1").translate(None, _SIMPLE)
+        except UnicodeEncodeError:
+            other = None
+        if other is not None:
             low = text.lower()
-            if not any(s in low for s in self.special):
+            if not other:
+                text = low
+                if not any(r in low for r in _RUNS):
+                    text = (text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+                            .replace(",\n", " ,\n"))
+            elif not any(s in low for s in self.special):
                 text = low
-            if not _SPLIT_MARK(text):  # every full stop and comma ends a word, and may as well be a piece of its own
-                text = text.replace(".", " .").replace(",", " ,")
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         self.pieces.trim()
         self.parts.trim()
         coded = self.pieces
-        return np.frombuffer(b"".join([coded[p] for p in pieces if p]), self.kind)
+        coded[""] = b""
+        return np.frombuffer(b"".join(map(coded.__getitem__, pieces)), self.kind)
