@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, spread
 from .arrow_text import chunks, flat
 from .components import components
 from .fingerprint import majority_bits, remix, shingle_hashes
@@ -301,7 +301,7 @@ def _key_rows(df: DataFrame, wide: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(ids[rows]), pa.array(words[rows, 0].view(np.int64))],
                     names=["key", "id", "w0"])
-    return (df.select("id", *[f"w{w}" for w in range(width)])
+    return (spread(df.select("id", *[f"w{w}" for w in range(width)]))
             .mapInArrow(run, "key long, id long, w0 long"))
 
 
@@ -352,12 +352,11 @@ def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: i
     Links are fingerprints within similar_bits(similarity); candidates share a Golay index of one of 22 segments
     and 10 bits of the next. Members of keys that hold a partner within NEAR_WORD bits of the first word are
     compared over all words. Equal fingerprints are one class from the start, so copies cost one row. Texts
-    without words are in no group. Rows with a null id are left out.
+    without words, null ones too, are copies of each other. Rows with a null id are left out.
     """
     rows = cut(fingerprints(documents.where(F.col(id_col).isNotNull())
                             .select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", size, WIDE_WORDS))
     words = [f"w{w}" for w in range(WIDE_WORDS)]
-    rows = rows.where(" OR ".join(f"{w} <> 0" for w in words))
     classes = cut(rows.groupBy(*words).agg(F.min("id").alias("id")))
     members = _bucket_pass(_key_rows(classes, True), 1, NEAR_WORD, False)
     members = cut(members.select(F.col("a").alias("key"), F.col("b").alias("id")))
@@ -367,3 +366,14 @@ def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: i
     named = cut(classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
                 .select(*words, F.coalesce("component", "id").alias("component")))
     return rows.join(named, words).select("id", "component")
+
+
+def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id",
+                         text: str = "text") -> DataFrame:
+    """The rows of documents but those that are near duplicates of a row with a smaller id; null ids stay.
+
+    Of rows that repeat the smallest id of a group all stay, as an id names one document.
+    """
+    later = (near_duplicate_groups(documents, similarity, size, id_col, text).where("id <> component")
+             .select(F.col("id").alias("__later")).distinct())
+    return documents.join(later, F.col(id_col) == F.col("__later"), "left_anti")
