@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..lineage import checkpoint_dir, cut
 from . import language_id, quality_rank
 from .decontaminate import benchmark_hits
+from .embedding_forest import embedding_classes
 from .license_scan import THRESHOLD, scan_licenses, templates
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
@@ -86,6 +87,11 @@ def _simhash(table):
     return fingerprint_classes(table("documents"))
 
 
+@query("op4_embedding_forest")
+def _embedding_forest(table):
+    return embedding_classes(table("embeddings"))
+
+
 @query("op5_benchmark_hits")
 def _benchmark_hits(table):
     return benchmark_hits(table("documents"), table("benchmark"))
