@@ -109,7 +109,9 @@ def scan_licenses(documents: DataFrame, threshold: float = THRESHOLD, known: lis
     spark = documents.sparkSession
     known = templates() if known is None else known
     ratio = threshold / (2 - threshold)
-    forms = (spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(known)], "form int, license string, text string")
+    stated = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(k).alias("license"), F.lit(t).alias("text"))
+                       for i, (k, t) in enumerate(known)])
+    forms = (spark.range(1).select(F.inline(stated))
              .select("form", "license", words_of(F.col("text")).alias("words"))
              .select("form", "license", bigrams(F.col("words")).alias("set"))
              .select("form", "license", F.size("set").alias("form_size"), F.explode("set").alias("bigram")))
