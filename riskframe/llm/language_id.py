@@ -22,6 +22,7 @@ from .word_cache import LIMIT, quiet_collector
 ROUNDS = 2
 SMOOTHING = 0.1
 LONGEST_WORD = 64
+KNOWN_WORDS = 1_000_000  # scored words that a task keeps
 UNKNOWN = 1e-5
 SCALE = 30.0  # times each character, so that products stay in range
 MARK = "▁"
@@ -241,7 +242,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
             best, score = [], []
             for start in range(0, batch.num_rows, 500):
                 words = [words_of(t.as_py() or "") if languages else [] for t in batch.column(at).slice(start, 500)]
-                if len(place) > 2 * LIMIT:
+                if len(place) > KNOWN_WORDS:
                     place.clear()
                     known = known[:0]
                 new = list(set().union(*words) - place.keys())
