@@ -31,6 +31,17 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(as_col(num).cast("double"), as_col(den).cast("double"))
 
 
+def paired_sums(num: str, den: str, where: Column | None = None, skip_nulls: bool = True) -> tuple[Column, Column]:
+    """Sums of two columns over the same rows: those that have both, or NULL for both as soon as one value is missing."""
+    both = F.col(num).isNotNull() & F.col(den).isNotNull()
+    mine = F.lit(True) if where is None else where
+    sums = [F.sum(F.when(mine & both, F.col(c).cast("double"))) for c in (num, den)]
+    if skip_nulls:
+        return sums[0], sums[1]
+    whole = F.count(F.when(mine & ~both, 1)) == 0
+    return F.when(whole, sums[0]), F.when(whole, sums[1])
+
+
 def ln_positive(c: Column | str) -> Column:
     """Natural log, NULL for zero, negative or missing values."""
     c = as_col(c)

@@ -204,15 +204,21 @@ def fit_random_intercept(df: DataFrame, entity: str, outcome: str, factors: Sequ
     return fit_entity_effects(df, entity, outcome, factors, numerics, pooling="partial", **kw)
 
 
+def _finished(fit: EntityFit) -> EntityFit:
+    if not fit.converged:
+        raise ValueError("the fit has not converged; allow more steps")
+    return fit
+
+
 def reliability_adjusted(fit: EntityFit, probs: Sequence[float] = QS) -> DataFrame:
     """Quantiles of the adjusted rate (percent): mean linear predictor plus entity effect."""
-    rates = fit.effects.select((expit(F.lit(fit.mean_lp()) + F.col("effect0")) * 100).alias("rate"))
+    rates = _finished(fit).effects.select((expit(F.lit(fit.mean_lp()) + F.col("effect0")) * 100).alias("rate"))
     return quantile_table(rates, "rate", probs, "rate")
 
 
 def adjusted_by_period(fit: EntityFit, period: str, probs: Sequence[float] = QS) -> DataFrame:
     """Adjusted rate of every entity in every period (percent): its quantiles per period."""
-    means = fit.cells.groupBy(period).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("mean_lp"))
+    means = _finished(fit).cells.groupBy(period).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("mean_lp"))
     grid = expand_by(fit.effects.select("effect0"), means)
     rates = grid.select(period, (expit(F.col("effect0") + F.col("mean_lp")) * 100).alias("rate"))
     return quantiles(rates, "rate", probs, [period], [f"p{x * 100:g}" for x in probs])

@@ -18,7 +18,7 @@ def calibration(df: DataFrame, score: str, label: str, breaks: Sequence[float],
     With se: also n, binomial standard error, a band of two standard errors, and the bin midpoint.
     """
     binned = df.withColumn("bin", cut_bins(score, breaks).cast("bigint"))
-    out = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("obs_rate"),
+    out = binned.groupBy("bin").agg(F.count(label).alias("n"), F.avg(F.col(label).cast("double")).alias("obs_rate"),
                                     F.avg(score).alias("mean_pred"))
     names = F.array(*[F.lit(x) for x in cut_labels(breaks)])
     out = out.withColumn("label", F.get(names, F.col("bin").cast("int") - 1))
@@ -41,7 +41,7 @@ def calibration_ci(df: DataFrame, score: str, label: str, cuts: int = 10, alpha:
     """Events per equal-width score bin with the exact binomial interval of the event share."""
     breaks = [i / cuts for i in range(cuts + 1)]
     out = (df.withColumn("bin", cut_bins(score, breaks).cast("bigint")).filter(F.col("bin").isNotNull())
-           .groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("events")))
+           .groupBy("bin").agg(F.count(label).alias("n"), F.sum(F.col(label).cast("bigint")).alias("events")))
     args = ("events", "n", F.lit(alpha))
     return out.withColumns({"pct": F.col("events") / F.col("n") * 100,
                             "lower": binom_lower_limit(*args) * 100, "upper": binom_upper_limit(*args) * 100})

@@ -15,22 +15,30 @@ from ..functions.nulls import complete
 from ..lineage import cut
 from .ordered import row_index, running_sums
 
-MAX_LEVELS = 1000
+MAX_LEVELS = 10_000
 
 
-def levels_of(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted levels of categorical columns, found in one pass. Too many levels are an error."""
+def levels_of(df: DataFrame, cols: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted levels of categorical columns, found in one pass.
+
+    Levels become columns of a plan, so a column of over `most` of them is an error, whatever other columns are
+    asked for with it; pass a larger `most`, or levels of your own, to go beyond.
+    """
     if not cols:
         return {}
     items = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]
     found = (df.select(F.explode(F.array(*items)).alias("x")).select("x.*").filter(F.col("v").isNotNull())
-             .distinct().limit(MAX_LEVELS * len(cols) + 1).collect())
-    if len(found) > MAX_LEVELS * len(cols):
-        raise ValueError(f"more than {MAX_LEVELS} levels per column: not categorical")
+             .distinct().persist())
+    counts = {r["c"]: r["count"] for r in found.groupBy("c").count().collect()}
+    wide = sorted(c for c, n in counts.items() if n > most)
+    rows = [] if wide else found.collect()
+    found.unpersist()
+    if wide:
+        raise ValueError(f"more than {most} levels in {', '.join(wide)}: not categorical")
     kinds = dict(df.dtypes)
     number = {c: int if kinds[c] in ("int", "bigint", "smallint", "tinyint") else float if kinds[c] == "double" else str
               for c in cols}
-    return {c: sorted(number[c](r.v) for r in found if r.c == c) for c in cols}
+    return {c: sorted(number[c](r.v) for r in rows if r.c == c) for c in cols}
 
 
 def dummies_full(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:

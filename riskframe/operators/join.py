@@ -59,18 +59,19 @@ def attach_scores(df: DataFrame, scored: DataFrame, row_id: str) -> DataFrame:
     return df.join(scored.select(*new), row_id, "inner")
 
 
-def expand_by(df: DataFrame, grid: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Every row of df with every row of a small grid (periods, parameter values).
+def expand_by(df: DataFrame, grid: DataFrame, part: int = 1_000) -> DataFrame:
+    """Every row of df with every row of a grid (periods, parameter values).
 
-    A grid of up to `limit` rows travels as one array value. A larger grid is spread over
-    buckets, and df meets one bucket at a time through an equi-join.
+    The grid is cut into parts of about `part` rows, each an array. Every part is there once for each of as many
+    salts as there are shuffle partitions; a row of df meets each part under one salt, its own. So a shuffled join
+    has parts x salts keys whatever the sizes, and a grid of one part multiplies nothing before it is joined.
     """
-    fields = F.struct(*[F.col(c) for c in grid.columns])
-    n = grid.count()
-    if n <= limit:
-        cells = grid.agg(F.collect_list(fields)).scalar()
-        return df.withColumn("_cell", F.explode(cells)).select(*df.columns, "_cell.*")
-    buckets = -(-n // limit)
-    right = grid.withColumn("_bucket", F.pmod(F.xxhash64(*grid.columns), F.lit(buckets)))
-    left = df.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
-    return left.join(right, "_bucket").drop("_bucket")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-grid.count() // part))
+    number = F.pmod(F.xxhash64(*grid.columns), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
+    cells = (grid.groupBy(number.alias("_part")).agg(F.collect_list(F.struct(*grid.columns)).alias("_cells"))
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return (rows.join(cells, ["_part", "_salt"]).withColumn("_cell", F.explode("_cells"))
+            .select(*df.columns, "_cell.*"))

@@ -141,7 +141,7 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, key: str, gr
         builder = builder.addGrid(gbt.getParam(name), list(values))
     maps = builder.build()
     cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, numFolds=k, foldCol="_fold", parallelism=parallelism,
-                        evaluator=BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC"))
+                        evaluator=BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC", numBins=0))
     model = cv.fit(folds)
     names = list(grid)
     rows = [(*[float(m[gbt.getParam(n)]) for n in names], float(a), float(s))
@@ -169,7 +169,7 @@ def fit_logit(df: DataFrame, formula: str) -> PipelineModel:
 
 def fit_intercept(df: DataFrame, label: str) -> DataFrame:
     """Intercept-only logistic regression: log odds of the rate and its standard error."""
-    s = df.agg(F.sum(F.col(label).cast("double")).alias("d"), F.count(F.lit(1)).cast("double").alias("n"))
+    s = df.agg(F.sum(F.col(label).cast("double")).alias("d"), F.count(label).cast("double").alias("n"))
     return s.select(F.lit("(Intercept)").alias("term"), F.ln(F.col("d") / (F.col("n") - F.col("d"))).alias("estimate"),
                     F.sqrt(1 / F.col("d") + 1 / (F.col("n") - F.col("d"))).alias("std_error"))
 
@@ -261,7 +261,7 @@ def fit_logit_counts(df: DataFrame, dead: str, alive: str, features: Sequence[st
     lr = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="_w", probabilityCol="_prob",
                             rawPredictionCol="_raw", predictionCol="_class")
     maps = ParamGridBuilder().addGrid(lr.regParam, list(penalties)).addGrid(lr.elasticNetParam, list(mixing)).build()
-    metric = BinaryClassificationEvaluator(labelCol="_y", rawPredictionCol="_raw", weightCol="_w")
+    metric = BinaryClassificationEvaluator(labelCol="_y", rawPredictionCol="_raw", weightCol="_w", numBins=0)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=metric, numFolds=k, foldCol="_fold", parallelism=4)
     fitted = cv.fit(cut(stage.transform(rows)))
     table = [(float(m[lr.regParam]), float(m[lr.elasticNetParam]), float(a)) for m, a in zip(maps, fitted.avgMetrics)]

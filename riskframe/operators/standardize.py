@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nulls import if_else, ln_positive, ratio, strict
+from ..functions.nulls import if_else, ln_positive, paired_sums, ratio, strict
 from ..functions.scalar import paste
 from .order import flag_above_median
 from .summarize import is_one, mean_where
@@ -36,21 +36,28 @@ def entity_profile(df: DataFrame, entity: str, cohort: str, indicators: Sequence
     return df.groupBy(entity).agg(*aggs)
 
 
-def oe_by(df: DataFrame, by: Sequence[str], outcome: str = "outcome", risk: str = "risk") -> DataFrame:
-    """Observed, expected, their ratio and its log per group."""
-    sums = df.groupBy(*by).agg(F.sum(F.col(outcome).cast("double")).alias("obs"), F.sum(risk).alias("expect"))
+def oe_by(df: DataFrame, by: Sequence[str], outcome: str = "outcome", risk: str = "risk",
+          skip_nulls: bool = True) -> DataFrame:
+    """Observed, expected, their ratio and its log per group.
+
+    Both sums are over the rows that have outcome and risk; strict (skip_nulls=False): NULL if any row lacks one.
+    """
+    obs, expect = paired_sums(outcome, risk, None, skip_nulls)
+    sums = df.groupBy(*by).agg(obs.alias("obs"), expect.alias("expect"))
     out = sums.withColumn("oe_ratio", ratio("obs", "expect"))
     return out.withColumn("log_oe", ln_positive("oe_ratio"))
 
 
-def _cohort_sum(value: str, cohort: str, k: int) -> Column:
-    return F.sum(F.when(F.col(cohort) == k, F.col(value).cast("double")))
+def _cohort_sums(outcome: str, risk: str, cohort: str, skip_nulls: bool, mark: str = "_") -> list[Column]:
+    """Paired sums of outcome and risk in both cohorts, named mark + column + cohort."""
+    return [c.alias(f"{mark}{v}{k}") for k in (0, 1)
+            for v, c in zip((outcome, risk), paired_sums(outcome, risk, F.col(cohort) == k, skip_nulls))]
 
 
 def relative_risk(df: DataFrame, by: Sequence[str] = ("entity",), cohort: str = "cohort", outcome: str = "outcome",
-                  risk: str = "risk") -> DataFrame:
+                  risk: str = "risk", skip_nulls: bool = True) -> DataFrame:
     """O/E of cohort 1, O/E of cohort 0 and their ratio; NULL where a side is missing or its ratio undefined."""
-    sums = df.groupBy(*by).agg(*[_cohort_sum(v, cohort, k).alias(f"_{v}{k}") for v in (outcome, risk) for k in (0, 1)])
+    sums = df.groupBy(*by).agg(*_cohort_sums(outcome, risk, cohort, skip_nulls))
     out = sums.select(*by, *[ratio(f"_{outcome}{k}", f"_{risk}{k}").alias(f"oe_{k}") for k in (0, 1)])
     return out.withColumn("rr", ratio("oe_1", "oe_0"))
 
@@ -61,15 +68,16 @@ def entity_risk(df: DataFrame, profile: DataFrame, exceed: DataFrame, threshold:
     The cases are read once: one sum per (entity, period, cohort) feeds every column.
     """
     cell = df.groupBy("entity", "period", "cohort").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("outcome").cast("double")).alias("obs"),
-        F.sum("risk").alias("expect"))
+        F.count(F.lit(1)).alias("n"), F.count("outcome").alias("known"),
+        F.sum(F.col("outcome").cast("double")).alias("dead"),
+        *[c.alias(v) for v, c in zip(("obs", "expect"), paired_sums("outcome", "risk"))])
     yearly = cell.groupBy("entity", "period").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("cohort") == 1, F.col("n")).otherwise(0)).alias("n_1"),
-        F.sum("obs").alias("obs"),
+        F.sum("dead").alias("dead"), F.sum("known").alias("known"),
         *[F.sum(F.when(F.col("cohort") == k, F.col(v))).alias(f"{v}_{k}") for v in ("obs", "expect") for k in (0, 1)])
     own = yearly.groupBy("entity").agg(
         F.avg("n").alias("cases_yr"), F.avg("n_1").alias("cohort_cases_yr"),
-        (F.sum("obs") / F.sum("n")).alias("rate"),
+        ratio(F.sum("dead"), F.sum("known")).alias("rate"),
         *[F.sum(f"{v}_{k}").alias(f"{v}_{k}") for v in ("obs", "expect") for k in (0, 1)])
     own = own.withColumn("rr", ratio(ratio("obs_1", "expect_1"), ratio("obs_0", "expect_0")))
     own = own.select("entity", "rr", "rate", "cases_yr", "cohort_cases_yr")
@@ -77,12 +85,12 @@ def entity_risk(df: DataFrame, profile: DataFrame, exceed: DataFrame, threshold:
     return out.withColumn("high_rr", if_else(F.col("rr") >= threshold, F.lit(1), F.lit(0)))
 
 
-def rr_summary(df: DataFrame) -> DataFrame:
+def rr_summary(df: DataFrame, skip_nulls: bool = True) -> DataFrame:
     """RR, size of cohort 0 and overall rate per entity, in one pass."""
     sums = df.groupBy("entity").agg(
-        *[_cohort_sum(v, "cohort", k).alias(f"{v}_{k}") for v in ("outcome", "risk") for k in (0, 1)],
+        *_cohort_sums("outcome", "risk", "cohort", skip_nulls, ""),
         F.sum((F.col("cohort") == 0).cast("bigint")).alias("_n0"), F.avg(F.col("outcome").cast("double")).alias("rate"))
-    rr = ratio(ratio("outcome_1", "risk_1"), ratio("outcome_0", "risk_0"))
+    rr = ratio(ratio("outcome1", "risk1"), ratio("outcome0", "risk0"))
     return sums.select("entity", rr.alias("rr"), F.when(F.col("_n0") > 0, F.col("_n0")).alias("n_control"), "rate")
 
 
@@ -159,13 +167,13 @@ def odds_ratio_by(df: DataFrame, entity: str, cohort: str, outcome: str) -> Data
         "odds_ratio", F.when(F.col("n_cells") == 4, odds))
 
 
-def compare_scores(df: DataFrame, a: str, b: str) -> DataFrame:
-    """RR per entity under two score columns, in one pass."""
-    sums = df.groupBy("entity").agg(
-        *[_cohort_sum(v, "cohort", k).alias(f"_{v}{k}") for v in ("outcome", a, b) for k in (0, 1)])
-    def rr(score):
-        return ratio(ratio("_outcome1", f"_{score}1"), ratio("_outcome0", f"_{score}0"))
-    return sums.select("entity", rr(a).alias("rr_a"), rr(b).alias("rr_b"))
+def compare_scores(df: DataFrame, a: str, b: str, skip_nulls: bool = True) -> DataFrame:
+    """RR per entity under two score columns, in one pass; each over the rows that have its score and the outcome."""
+    sums = df.groupBy("entity").agg(*_cohort_sums("outcome", a, "cohort", skip_nulls, "a_"),
+                                    *_cohort_sums("outcome", b, "cohort", skip_nulls, "b_"))
+    def rr(mark, score):
+        return ratio(ratio(f"{mark}outcome1", f"{mark}{score}1"), ratio(f"{mark}outcome0", f"{mark}{score}0"))
+    return sums.select("entity", rr("a_", a).alias("rr_a"), rr("b_", b).alias("rr_b"))
 
 
 def oe_within_entity(df: DataFrame, entity: str, cohort: str, outcome: str, covars: Sequence[str],
@@ -173,12 +181,13 @@ def oe_within_entity(df: DataFrame, entity: str, cohort: str, outcome: str, cova
     """O/E of cohort 1 against what its own entity achieves for cohort 0 in the same covariate cell.
 
     The cohort-0 rate of a cell is shrunk towards the entity's cohort-0 rate with weight k0, so a thin
-    or empty cell falls back to the entity. Everything follows from one count per (entity, cell).
+    or empty cell falls back to the entity. Rows without outcome or cohort are left out. Everything follows from one count per (entity, cell).
     """
     def count(k, y=None):
         hit = F.col(cohort) == k
         return F.sum((hit if y is None else hit & (F.col(outcome) == y)).cast("bigint"))
-    cells = df.groupBy(entity, *covars).agg(count(0).alias("n0"), count(0, 1).alias("d0"),
+    known = df.filter(F.col(outcome).isNotNull() & F.col(cohort).isNotNull())
+    cells = known.groupBy(entity, *covars).agg(count(0).alias("n0"), count(0, 1).alias("d0"),
                                             count(1).alias("n1"), count(1, 1).alias("d1"))
     whole = cells.groupBy(entity).agg(ratio(F.sum("d0"), F.sum("n0")).alias("rate0"))
     rate = (F.col("d0") + F.lit(float(k0)) * F.col("rate0")) / (F.col("n0") + F.lit(float(k0)))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.nulls import aggregate, complete, n_distinct_with_null
+from ..functions.nulls import aggregate, complete, if_else, n_distinct_with_null
 from ..functions.scalar import cut_bins, fmt_mean_sd
 from .ordered import quantiles
 
@@ -85,11 +85,11 @@ def mean_sd(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None =
 
 
 def summary_matrix(df: DataFrame, outcome: str, cohort: str, metrics: Mapping[str, Column]) -> DataFrame:
-    """One text cell per metric (rows) and outcome x cohort group (columns)."""
-    group = F.concat(F.when(F.col(cohort) == 1, "case").otherwise("control"), F.lit("_"),
-                     F.when(F.col(outcome) == 1, "dead").otherwise("alive"))
-    wide = df.groupBy(outcome, cohort).agg(*[m.alias(name) for name, m in metrics.items()])
-    long = wide.withColumn("grp", group).unpivot(["grp"], list(metrics), "metric", "text")
+    """One text cell per metric (rows) and outcome x cohort group (columns); rows without either are in no group."""
+    group = F.concat(if_else(F.col(cohort) == 1, "case", "control"), F.lit("_"),
+                     if_else(F.col(outcome) == 1, "dead", "alive"))
+    wide = df.groupBy(group.alias("grp")).agg(*[m.alias(name) for name, m in metrics.items()])
+    long = wide.filter(F.col("grp").isNotNull()).unpivot(["grp"], list(metrics), "metric", "text")
     return (long.groupBy("metric").pivot("grp", ["case_alive", "case_dead", "control_alive", "control_dead"])
             .agg(F.first("text")))
 
@@ -289,20 +289,30 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
         F.sum(F.when(inside, 0).otherwise(F.col("_n"))).cast("bigint").alias("n_out"))
 
 
-def bandwidth(df: DataFrame, col: str) -> Column:
-    """Rule-of-thumb bandwidth 0.9 * min(sd, IQR / 1.34) * n^-0.2 as a scalar subquery."""
-    q = quantiles(df, col, [0.25, 0.75], names=["a", "b"]).select(F.struct("a", "b")).scalar()
-    s = df.agg(F.struct(F.stddev_samp(col).alias("sd"), F.count(col).alias("n"))).scalar()
-    return F.least(s["sd"], (q["b"] - q["a"]) / 1.34) * F.pow(s["n"].cast("double"), F.lit(-0.2)) * 0.9
+def bandwidth(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
+    """Rule-of-thumb bandwidth 0.9 * min(sd, IQR / 1.34) * n^-0.2, one row per group or one in all."""
+    keys = _keys(by)
+    spread = df.groupBy(*keys).agg(F.stddev_samp(col).alias("_sd"), F.count(col).alias("_count"))
+    box = quantiles(df, col, [0.25, 0.75], keys, ["_low", "_high"])
+    both = spread.join(box, keys) if keys else spread.withColumn("_k", F.lit(0)).join(
+        box.withColumn("_k", F.lit(0)), "_k")
+    width = F.least(F.col("_sd"), (F.col("_high") - F.col("_low")) / 1.34) * F.pow(
+        F.col("_count").cast("double"), F.lit(-0.2)) * 0.9
+    return both.select(*keys, width.alias("bw"))
 
 
 def density(df: DataFrame, col: str, grid: Sequence[float], bw: float | None = None, by: str | None = None) -> DataFrame:
     """Gaussian kernel density on a grid. Equal values are counted once; the grid is a literal array."""
     keys = _keys(by)
-    width = F.lit(float(bw)) if bw is not None else bandwidth(df, col)
     d = (df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v"))
          .agg(_rows().alias("_n")))
-    points = d.withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn("_bw", width)
+    if bw is not None:
+        d = d.withColumn("_bw", F.lit(float(bw)))
+    elif keys:
+        d = d.join(bandwidth(df, col, by).withColumnRenamed("bw", "_bw"), keys)
+    else:
+        d = d.withColumn("_bw", bandwidth(df, col).select("bw").scalar())
+    points = d.withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     z = (F.col("x") - F.col("_v")) / F.col("_bw")
     kernel = F.exp(-z * z / 2) / (F.col("_bw") * math.sqrt(2 * math.pi))
     return points.groupBy(*keys, "x").agg((F.sum(kernel * F.col("_n")) / F.sum("_n")).alias("density"))

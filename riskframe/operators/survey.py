@@ -40,12 +40,17 @@ def svy_mean(df: DataFrame, design: SurveyDesign, variables: Sequence[str], by:
 
     scored = sums.join(totals, by).select(
         "_h", *by, *[((F.col(f"_x{i}") - F.col(f"_m{i}") * F.col("_w")) / F.col("_wsum")).alias(f"_z{i}") for i in k])
-    per_h = scored.groupBy("_h", *by).agg(*[F.sum(f"_z{i}").alias(f"_s{i}") for i in k],
-                                          *[F.sum(F.col(f"_z{i}") * F.col(f"_z{i}")).alias(f"_q{i}") for i in k])
+    # Two passes over the cluster sums: squares about the stratum mean, with 0 for clusters outside the domain.
+    means = (scored.groupBy("_h", *by).agg(*[F.sum(f"_z{i}").alias(f"_s{i}") for i in k]).join(sizes, "_h")
+             .select("_h", *by, "_nh", *[(F.col(f"_s{i}") / F.col("_nh")).alias(f"_c{i}") for i in k]))
     n = F.col("_nh")
-    var = (per_h.join(sizes, "_h").groupBy(*by).agg(*[F.sum(F.when(
-        n > 1, n / (n - 1) * F.greatest(F.col(f"_q{i}") - F.col(f"_s{i}") * F.col(f"_s{i}") / n, F.lit(0.0)))
-        .otherwise(0.0)).alias(f"_v{i}") for i in k]))
+    about = scored.join(means, ["_h", *by]).groupBy("_h", *by).agg(
+        F.max(n).alias("_nh"), F.count(F.lit(1)).alias("_there"),
+        *[F.sum(F.pow(F.col(f"_z{i}") - F.col(f"_c{i}"), 2)).alias(f"_q{i}") for i in k],
+        *[F.max(f"_c{i}").alias(f"_c{i}") for i in k])
+    var = about.groupBy(*by).agg(*[F.sum(F.when(n > 1, n / (n - 1) * (
+        F.col(f"_q{i}") + (n - F.col("_there")) * F.col(f"_c{i}") * F.col(f"_c{i}"))).otherwise(0.0)).alias(f"_v{i}")
+        for i in k])
     items = [F.struct(F.lit(v).alias("variable"), F.col(f"_m{i}").alias("mean"), F.sqrt(f"_v{i}").alias("se"))
              for i, v in zip(k, variables)]
     return totals.join(var, by).select(*by, F.inline(F.array(*items)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import MASK, MULTIPLIERS, SEED_STEP, SHIFTS, poisson_cdf
+from ..functions.nulls import if_else
 from ..operators import draws as dr, inference as inf, resample, summarize as a, survey
 from .registry import query
 from .summaries_q import SUMMARY_SQL, rounded
@@ -233,7 +234,7 @@ y AS (SELECT variable, cohort, outcome, printf('%.2f (%.2f)', (mean * k)::DOUBLE
 SELECT CASE variable {SVY_WHEN({k: f"'{v}'" for k, v in SVY_LABELS.items()})} END AS variable, CASE variable {SVY_WHEN({v: i for i, v in enumerate(SVY_ORDER, 1)})} END AS position,
 {', '.join(f"max(CASE WHEN cohort = {c} AND outcome = {o} THEN text END) AS {g}" for g, c, o in GROUPS)} FROM y GROUP BY ALL""")
 def _(t):
-    grp = F.concat(F.when(F.col("cohort") == 1, "case").otherwise("control"), F.when(F.col("outcome") == 1, "_dead").otherwise("_alive"))
+    grp = F.concat(if_else(F.col("cohort") == 1, "case", "control"), if_else(F.col("outcome") == 1, "_dead", "_alive"))
     return survey.svy_table(svy(t).withColumn("grp", grp), "grp", [g for g, _, _ in GROUPS], PCT, SVY_ORDER, SVY_LABELS)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.nulls import nan_to_null
 from .schema import check_columns
@@ -25,7 +25,11 @@ def read_facts(spark: SparkSession, path: str, schema: StructType | None = None,
     df = reader.load(path)
     df = nan_to_null(df.toDF(*[c.lower() for c in df.columns]))
     df = df.withColumns({c: F.col(c).cast("string") for c in text_ids})
-    return check_columns(df, schema) if schema is not None and not text_ids else df
+    if schema is None:
+        return df
+    ids = {c.lower() for c in text_ids}
+    return check_columns(df, StructType([StructField(f.name, StringType(), f.nullable) if f.name.lower() in ids else f
+                                         for f in schema]))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
