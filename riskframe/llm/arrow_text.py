@@ -10,6 +10,14 @@ import pyarrow as pa
 CHUNK_BYTES = 2_000_000
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

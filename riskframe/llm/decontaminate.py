@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import fresh
+
 ERROR_RATE = 0.08
 BLOCK_CHARS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -174,5 +176,6 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, rate: float = ERR
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of documents without any stretch that is a benchmark item; rows with a null doc_id stay."""
-    hits = benchmark_hits(documents, benchmark, rate).select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hits, F.col("doc_id") == F.col("__hit"), "left_anti")
+    name = fresh("hit_id", documents.columns)
+    hits = benchmark_hits(documents, benchmark, rate).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(hits, F.col("doc_id") == F.col(name), "left_anti")

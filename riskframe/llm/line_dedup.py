@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .arrow_text import fresh
 
 RUN_LINES = 2
 
@@ -76,12 +77,13 @@ def line_dedup(documents: DataFrame, run_lines: int = RUN_LINES, id_col: str = "
     occurrence is that of the smallest id (null first), then of the smaller hash of the text, then the upper one.
     Rows equal in id and text get the same result. Columns of other names pass through, whatever they are called.
     """
+    own_id, own_digest, gone = (fresh(n, documents.columns) for n in ("own_id", "own_digest", "gone_lines"))
     marks = repeated_lines(documents, run_lines, id_col, text).select(
-        F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("lines").alias("__lines"))
-    joined = documents.join(cut(marks), F.col(id_col).eqNullSafe(F.col("__id"))
-                            & (F.xxhash64(text) == F.col("__digest")), "left")
+        F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("lines").alias(gone))
+    joined = documents.join(cut(marks), F.col(id_col).eqNullSafe(F.col(own_id))
+                            & (F.xxhash64(text) == F.col(own_digest)), "left")
     lines = _lines(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(rest)
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut, spread
-from .arrow_text import chunks, flat
+from .arrow_text import chunks, flat, fresh
 from .components import components
 from .fingerprint import majority_bits, remix, shingle_hashes
 
@@ -374,6 +374,7 @@ def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8, size: in
 
     Of rows that repeat the smallest id of a group all stay, as an id names one document.
     """
+    name = fresh("later_id", documents.columns)
     later = (near_duplicate_groups(documents, similarity, size, id_col, text).where("id <> component")
-             .select(F.col("id").alias("__later")).distinct())
-    return documents.join(later, F.col(id_col) == F.col("__later"), "left_anti")
+             .select(F.col("id").alias(name)).distinct())
+    return documents.join(later, F.col(id_col) == F.col(name), "left_anti")
