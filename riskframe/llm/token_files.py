@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .word_tokens import WordTokens
+from .word_tokens import shared_coder
 
 END_ID = 1
 FRAME_IDS = 200_000
@@ -37,7 +37,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id
     folder without frames. Rows are dealt by ranges of the id, each range is one shard.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(vocabulary)
+        coder = shared_coder(vocabulary)
         shard = TaskContext.get().partitionId()
         frame = before = held = 0
         ids: list = []

@@ -17,6 +17,16 @@ _SIMPLE = bytes(b for b in range(256) if chr(b).isalnum() or chr(b) in " \n\t\r.
 _RUNS = ("..", ".,", ",.", ",,")
 
 
+_MADE: dict[str, WordTokens] = {}
+
+
+def shared_coder(path: str) -> WordTokens:
+    """The coder of this Python worker, which keeps its caches from task to task."""
+    if path not in _MADE:
+        _MADE[path] = WordTokens(path)
+    return _MADE[path]
+
+
 class WordTokens:
     """encode(text) is what Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids gives, as bytes.
 
