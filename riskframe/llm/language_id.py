@@ -8,6 +8,7 @@ over its words. The probabilities are learned by expectation maximisation over t
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,6 +79,17 @@ class Vocabulary:
         return out
 
 
+_MADE: dict[str, Vocabulary] = {}
+_SCORED: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+
+
+def shared_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of this Python worker, read once."""
+    if path not in _MADE:
+        _MADE[path] = Vocabulary(path)
+    return _MADE[path]
+
+
 def forward(spans: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Scaled sums over the segmentations of every prefix: (word, position, language); chance is (language, piece + 1).
 
@@ -201,7 +213,7 @@ def fit(documents: DataFrame, vocabulary: str, rounds: int = ROUNDS, lang: str =
         sent = spark.sparkContext.broadcast(probability)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, total = Vocabulary(vocabulary), np.zeros_like(sent.value)
+            known, total = shared_vocabulary(vocabulary), np.zeros_like(sent.value)
             for batch in batches:
                 tongue = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
                 total += expected_counts(known, sent.value, batch.column(1).to_pylist(), tongue,
@@ -230,21 +242,22 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
     keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
     at = keep.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(keep).schema)
+    model_key = uuid.uuid4().hex
     sent = documents.sparkSession.sparkContext.broadcast((model.path, model.languages, model.probability))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_collector()
         path, languages, probability = sent.value
-        vocabulary = Vocabulary(path)
-        place: dict[str, int] = {}
-        known = np.zeros((0, len(languages)))
+        vocabulary = shared_vocabulary(path)
+        if model_key not in _SCORED:  # a worker keeps the words scored under one model, from task to task
+            _SCORED.clear()
+        place, known = _SCORED.get(model_key, ({}, np.zeros((0, len(languages)))))
         for batch in batches:
             best, score = [], []
             for start in range(0, batch.num_rows, 500):
                 words = [words_of(t.as_py() or "") if languages else [] for t in batch.column(at).slice(start, 500)]
                 if len(place) > KNOWN_WORDS:
-                    place.clear()
-                    known = known[:0]
+                    place, known = {}, known[:0]
                 new = list(set().union(*words) - place.keys())
                 if new:
                     place.update(zip(new, range(len(place), len(place) + len(new))))
@@ -260,6 +273,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
                     top = int(total.argmax())
                     best.append(languages[top])
                     score.append(float(1 / np.exp(total - total[top]).sum()))
+            _SCORED[model_key] = place, known
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()),
                                               pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
     return documents.select(keep).mapInArrow(run, f"{schema}, lang_pred string, score double")
