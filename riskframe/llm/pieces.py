@@ -223,6 +223,9 @@ class Coder:
         return b"".join(map(self.model.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+_MADE: dict[str, Coder] = {}
+
+
 def encode_pieces(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """The columns of documents with `ids` (array of int), `decoded` (text from the ids) and `ids_crc32`.
 
@@ -236,7 +239,10 @@ def encode_pieces(documents: DataFrame, vocabulary: str, text: str = "text") ->
     sent = documents.sparkSession.sparkContext.broadcast(PieceModel(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
+        # The worker keeps the coder and its caches from task to task; the path says which vocabulary it has.
+        if vocabulary not in _MADE:
+            _MADE[vocabulary] = Coder(sent.value)
+        coder = _MADE[vocabulary]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
