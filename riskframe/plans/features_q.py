@@ -64,7 +64,7 @@ def _(t):
     df = t.adm("case_id", "cohort", "age", "ses", "male", "vent", "f_cardiac", "comorb")
     wide = f.dummies_full(df, ["ses"])
     methods = {**{f"ses.{v}": "logreg" for v in (2, 3, 4)}, "comorb": "pmm"}
-    done = f.impute_chained(wide.drop("ses.1"), methods, "case_id", iters=1, seed=3, exclude=["cohort"])
+    done = f.impute_chained(wide.drop("ses.1"), methods, "case_id", seed=3, exclude=["cohort"])
     return done.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"`{c}`"), 4).alias(c) for c in methods],
                                       *[F.sum(F.col(f"`{c}`").isNull().cast("int")).alias(f"missing {c}") for c in methods])
 

@@ -14,10 +14,8 @@ from .summaries_q import rounded
 PLAIN = ["age", "comorb", "male", "vent", *FAILURES]
 FEATURES = ["age", "ses.1", "ses.2", "ses.3", "ses.4", "comorb", "male", "vent", *FAILURES]
 NAMES = [c.replace(".", "_") for c in FEATURES]
-# Display names of the features.
-LABELS = {"age": "Age", "ses_1": "SES Q1", "ses_2": "SES Q2", "ses_3": "SES Q3", "ses_4": "SES Q4", "comorb": "Comorbidity Score",
-          "male": "Male", "vent": "Respiratory dysfunction", "f_cardiac": "Cardiac dysfunction", "f_neuro": "Neurologic dysfunction",
-          "f_heme": "Hematologic dysfunction", "f_liver": "Hepatic dysfunction", "f_renal": "Renal dysfunction", "cohort": "Case"}
+# Display names follow from the column names.
+LABELS = {n: f"{n[2:]} failure" if n.startswith("f_") else n.replace("_", " level ") for n in [*NAMES, "cohort"]}
 
 
 def matrix(t):
@@ -178,7 +176,7 @@ def _(t):
 def _(t):
     df = entity_table(t).withColumn("high", (F.col("case_outcome") > 0.2).cast("double"))
     x = ["control_outcome", "teach", "highvolume", "n_cases", "cohort_cases_yr"]
-    return rounded(m.importance(m.fit_entity_rf(df, "high", x, trees=50), df, x), "importance", "relative", digits=4)
+    return rounded(m.importance(m.fit_entity_rf(df, "high", x), df, x), "importance", "relative", digits=4)
 
 
 @query("m13_cv_compare")
@@ -194,7 +192,7 @@ def _(t):
 def _(t):
     df = t.adm("entity", "cohort", "outcome", "vent", *ATTRIBUTES).filter("cohort = 0").groupBy("entity").agg(
         F.sum("outcome").alias("dead"), F.sum(1 - F.col("outcome")).alias("alive"), F.avg("vent").alias("vent"), *[F.max(c).alias(c) for c in ATTRIBUTES])
-    model, table = m.fit_logit_counts(df, "dead", "alive", [*ATTRIBUTES, "vent"], "entity", penalties=(0.0, 0.01), mixing=(0.0, 1.0))
+    model, table = m.fit_logit_counts(df, "dead", "alive", [*ATTRIBUTES, "vent"], "entity")
     return rounded(table, "auc", digits=4)
 
 
@@ -243,4 +241,4 @@ def _(t):
 @query("d17_sensitivity")
 def _(t):
     df = t.adm("entity", "cohort", "outcome", "age_cat", "vent").filter("cohort = 1")
-    return rounded(fx.sensitivity(df, "entity", "outcome", ["age_cat", "vent"], ["vent"], max_steps=8), "with", "without", digits=3)
+    return rounded(fx.sensitivity(df, "entity", "outcome", ["age_cat", "vent"], ["vent"]), "with", "without", digits=3)
