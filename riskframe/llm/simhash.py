@@ -287,9 +287,10 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = 4, words: int =
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
-def _key_rows(df: DataFrame, wide: bool) -> DataFrame:
-    """(key, id, w0) for every Golay key of (id, w0..)."""
+def _key_rows(df: DataFrame, wide: bool, sent: int = 1) -> DataFrame:
+    """(key, id, w0..) for every Golay key of (id, w0..), with the first `sent` words."""
     width = WIDE_WORDS if wide else 1
+    names = [f"w{w}" for w in range(sent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,10 +300,10 @@ def _key_rows(df: DataFrame, wide: bool) -> DataFrame:
                 words = np.stack([part.column(1 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
                 keys, rows = wide_keys(words) if wide else exact_keys(words[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(ids[rows]), pa.array(words[rows, 0].view(np.int64))],
-                    names=["key", "id", "w0"])
+                    [pa.array(keys), pa.array(ids[rows]),
+                     *[pa.array(words[rows, w].view(np.int64)) for w in range(sent)]], names=["key", "id", *names])
     return (spread(df.select("id", *[f"w{w}" for w in range(width)]))
-            .mapInArrow(run, "key long, id long, w0 long"))
+            .mapInArrow(run, "key long, id long, " + ", ".join(f"{n} long" for n in names)))
 
 
 def hamming_groups(words: DataFrame) -> DataFrame:
@@ -350,17 +351,17 @@ def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: i
     """(id, component) of near duplicates by 512-bit fingerprints; component is the smallest id of the group.
 
     Links are fingerprints within similar_bits(similarity); candidates share a Golay index of one of 22 segments
-    and 10 bits of the next. Members of keys that hold a partner within NEAR_WORD bits of the first word are
-    compared over all words. Equal fingerprints are one class from the start, so copies cost one row. Texts
+    and 10 bits of the next. Those that have in some key a partner within NEAR_WORD bits of the first word, a few,
+    are dealt out again with all words and compared over them. Equal fingerprints are one class from the start, so copies cost one row. Texts
     without words, null ones too, are copies of each other. Rows with a null id are left out.
     """
     rows = cut(fingerprints(documents.where(F.col(id_col).isNotNull())
                             .select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", size, WIDE_WORDS))
     words = [f"w{w}" for w in range(WIDE_WORDS)]
     classes = cut(rows.groupBy(*words).agg(F.min("id").alias("id")))
-    members = _bucket_pass(_key_rows(classes, True), 1, NEAR_WORD, False)
-    members = cut(members.select(F.col("a").alias("key"), F.col("b").alias("id")))
-    wide = members.join(classes, "id").select("key", "id", *words)
+    near = _bucket_pass(_key_rows(classes, True), 1, NEAR_WORD, False)
+    suspects = cut(near.select(F.col("b").alias("id")).distinct())
+    wide = _key_rows(cut(classes.join(suspects, "id")), True, WIDE_WORDS)
     edges = _bucket_pass(wide, WIDE_WORDS, similar_bits(similarity), True).select("a", "b")
     groups = cut(components(cut(edges)))
     named = cut(classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
