@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .components import components
 
-TREES = 10
+TREES = 6
 LEAF = 256
 BLOCK = 1024
-SPILL = 1.0
+SPILL = 0.5
 SHRINK = 0.3
 SEED = 11
 
