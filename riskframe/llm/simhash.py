@@ -12,6 +12,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 # Search over wide fingerprints, for similarities a 64-bit word cannot resolve.
 WIDE_WORDS = 8
 WIDE_SEGMENTS = 22
-EXACT_BITS = 10
-NEAR_WORD = 18
+EXACT_BITS = 8
+FOLLOWERS = (1, 2)
+NEAR_WORD = 21
+BLOCK_ROWS = 512
 
 # The generator polynomial of the code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -96,7 +99,10 @@ def exact_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of wide fingerprints (rows of 64-bit words): each 23-bit segment's codewords with bits of the next one."""
+    """Keys of wide fingerprints (rows of 64-bit words): each 23-bit segment's codewords with bits of a later one.
+
+    Every segment is paired with each of the FOLLOWERS, as one exact part alone loses pairs at the bound.
+    """
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
     scale = 1 << np.arange(22, -1, -1, dtype=np.int64)
     parts = [bits[:, 23 * s:23 * s + 23].astype(np.int64) @ scale for s in range(WIDE_SEGMENTS)]
@@ -104,9 +110,11 @@ def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s, part in enumerate(parts):
         index, there = codeword_indices(part)
         row, column = np.nonzero(there)
-        follow = parts[(s + 1) % WIDE_SEGMENTS][row] >> (23 - EXACT_BITS)
-        keys.append((((7 + s) << EXACT_BITS | follow) << 12) | index[row, column])
-        rows.append(row)
+        for turn, step in enumerate(FOLLOWERS):
+            follow = parts[(s + step) % WIDE_SEGMENTS][row] >> (23 - EXACT_BITS)
+            kind = 7 + s + WIDE_SEGMENTS * turn
+            keys.append(((kind << EXACT_BITS | follow) << 12) | index[row, column])
+            rows.append(row)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -339,34 +347,118 @@ def similar_bits(similarity: float, words: int = WIDE_WORDS) -> int:
     """Differing bits to allow in a wide fingerprint for a shingle similarity (Jaccard) of at least this.
 
     Texts of equal length with Jaccard j have shingle vectors of cosine 2j / (1 + j), and a bit differs with
-    probability angle / pi; two standard deviations are added so that pairs at the bound are found.
+    probability angle / pi; three standard deviations are added so that pairs at the bound become candidates.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * words
-    return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
+
+
+def _sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The distinct shingle hashes of each text, ascending, as bytes."""
+    return [np.unique(hashes[a:b]).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def shingle_rows(df: DataFrame, size: int, words: int = 0, sets: bool = False) -> DataFrame:
+    """(id, digest, [w0..], [shingles]) of (id, text); digest is the hash of the set of `size`-word shingles."""
+    names = ["id", "digest", *[f"w{w}" for w in range(words)], *["shingles"] * sets]
+    kinds = [df.schema["id"].dataType.simpleString(), *["long"] * (1 + words), *["binary"] * sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            hashes, offsets = shingle_hashes(*flat(batch.column(1)), size)
+            own = _sets(hashes, offsets)
+            digest = np.array([xxhash.xxh64_intdigest(x) for x in own], np.uint64).view(np.int64)
+            bits = [majority_bits(remix(hashes, w), offsets).view(np.int64) for w in range(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), *map(pa.array, bits),
+                                              *[pa.array(own, pa.binary())] * sets], names=names)
+    return df.select("id", "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def similar_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges between sets of Jaccard similarity or more, enough to connect all that such pairs connect."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    seen = np.zeros(len(place) + 1, np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    edges, open_rows = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not open_rows[start]:
+            continue
+        queue, open_rows[start] = [start], False
+        while queue and open_rows.any():
+            x = queue.pop()
+            mine = place[ends[x]:ends[x + 1]]
+            seen[mine] = 1
+            both = np.bincount(owner, weights=seen[place], minlength=len(sets))
+            seen[mine] = 0
+            union = size + size[x] - both
+            reached = np.flatnonzero(open_rows & (both >= similarity * union - 1e-9)).tolist()
+            edges += [(x, y) for y in reached]
+            queue += reached
+            open_rows[reached] = False
+    return edges
+
+
+def _verified(members: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of similarity or more among the rows (component, node, shingles) of each component.
+
+    A component of over BLOCK_ROWS rows is cut into blocks, and every pair of blocks is compared on its own.
+    """
+    sizes = cut(members.groupBy("component").count()
+                .select("component", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = (members.join(sizes, "component").withColumn("block", block)
+             .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
+                     "node", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, first, table in _groups(batches, 1 << 62):
+            nodes = table.column(1).to_pylist()
+            ends = [*first.tolist(), len(nodes)]
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(2).to_pylist()]
+            found = [(nodes[a + x], nodes[a + y]) for a, b in zip(ends, ends[1:]) if b - a > 1
+                     for x, y in similar_edges(sets[a:b], similarity)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                                  pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id",
                           text: str = "text") -> DataFrame:
-    """(id, component) of near duplicates by 512-bit fingerprints; component is the smallest id of the group.
-
-    Links are fingerprints within similar_bits(similarity); candidates share a Golay index of one of 22 segments
-    and 10 bits of the next. Those that have in some key a partner within NEAR_WORD bits of the first word, a few,
-    are dealt out again with all words and compared over them. Equal fingerprints are one class from the start, so copies cost one row. Texts
-    without words, null ones too, are copies of each other. Rows with a null id are left out.
+    """(id, component) of near duplicates by shingle sets; component is the smallest id of the group.
+
+    Links are Jaccard similarities of the `size`-word shingle sets of at least `similarity`, computed exactly (over
+    64-bit hashes). 512-bit fingerprints only search: candidates share a Golay index of one of 22 segments and 8
+    bits of one of two others. Those that have in some key a partner within NEAR_WORD bits of the first word, a few,
+    are dealt out again with all words; fingerprints within similar_bits(similarity) are connected, and inside what
+    is connected all shingle sets are compared. Equal sets are one class from the start, so copies cost one row.
+    Texts without words, null ones too, are copies of each other. Rows with a null id are left out.
     """
-    rows = cut(fingerprints(documents.where(F.col(id_col).isNotNull())
-                            .select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", size, WIDE_WORDS))
+    own = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     words = [f"w{w}" for w in range(WIDE_WORDS)]
-    classes = cut(rows.groupBy(*words).agg(F.min("id").alias("id")))
+    rows = cut(shingle_rows(own, size, WIDE_WORDS))
+    classes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", *words)).alias("first"))
+                  .select(F.col("digest").alias("id"), F.col("first.id").alias("first"), *[f"first.{w}" for w in words]))
     near = _bucket_pass(_key_rows(classes, True), 1, NEAR_WORD, False)
     suspects = cut(near.select(F.col("b").alias("id")).distinct())
     wide = _key_rows(cut(classes.join(suspects, "id")), True, WIDE_WORDS)
     edges = _bucket_pass(wide, WIDE_WORDS, similar_bits(similarity), True).select("a", "b")
-    groups = cut(components(cut(edges)))
-    named = cut(classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
-                .select(*words, F.coalesce("component", "id").alias("component")))
-    return rows.join(named, words).select("id", "component")
+    loose = cut(components(cut(edges)))
+    wanted = cut(classes.join(loose, F.col("id") == F.col("node")).select("node", "component", "first"))
+    texts = own.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    sets = (shingle_rows(texts, size, 0, True).select(F.col("id").alias("first"), F.col("digest").alias("node"), "shingles"))
+    members = cut(wanted.join(sets, ["first", "node"]).dropDuplicates(["node"]).select("component", "node", "shingles"))
+    groups = cut(components(cut(_verified(members, similarity))))
+    named = cut(classes.select(F.col("id").alias("digest"), "first")
+                .join(groups.withColumnRenamed("node", "digest"), "digest", "left")
+                .select("digest", "first", F.coalesce("component", "digest").alias("group")))
+    smallest = named.groupBy("group").agg(F.min("first").alias("component"))
+    classed = cut(named.join(smallest, "group").select("digest", "component"))
+    return rows.join(classed, "digest").select("id", "component")
 
 
 def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id",
