@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskframe.lineage import cut
 from riskframe.llm import language_id
 from riskframe.llm.decontaminate import drop_contaminated
-from riskframe.llm.line_dedup import line_dedup
+from riskframe.llm.line_dedup import line_dedup, passage_dedup
 from riskframe.llm.pieces import encode_pieces
 from riskframe.llm.simhash import drop_near_duplicates
 
@@ -37,8 +37,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, later repeats of runs of lines deleted from their texts."""
-    return line_dedup(docs)
+    """All rows, later repeats of runs of lines, then of passages of over 50 words, deleted from their texts."""
+    return passage_dedup(cut(line_dedup(docs)))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

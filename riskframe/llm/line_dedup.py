@@ -4,7 +4,7 @@ Lines are hashed, blank lines left out. Of every window of `run_lines` hashes th
 equal runs of that many lines always share one at the same place. Fingerprints that occur once end there. Around the
 others the windows are extended to both sides, equal windows are joined, and each but the first is a later repeat.
 A longer equal run is covered by its windows, so exactly the lines of runs of `run_lines` or more that occurred
-before are deleted.
+before are deleted. passage_dedup does the same over words, so that passages inside lines are found too.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..lineage import cut
 from .arrow_text import fresh
 
 RUN_LINES = 2
+RUN_WORDS = 51
 
 
 def _lines(text: Column) -> Column:
@@ -87,3 +88,98 @@ def line_dedup(documents: DataFrame, run_lines: int = RUN_LINES, id_col: str = "
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _doubled(values: Column, width: int, to: int, merge) -> Column:
+    """An array of values of `width` neighbours each made one of values of `to` neighbours each."""
+    def paired(apart: int):
+        return lambda v: F.zip_with(F.slice(v, F.lit(1), F.greatest(F.size(v) - apart, F.lit(0))),
+                                    F.slice(v, F.lit(apart + 1), F.greatest(F.size(v) - apart, F.lit(0))), merge)
+
+    while width < to:
+        apart = min(width, to - width)
+        values = _let(values, paired(apart))
+        width += apart
+    return values
+
+
+def _word_windows(documents: DataFrame, run_words: int) -> DataFrame:
+    """(id, digest, runs, marks) of (id, digest, text): hashes of all windows of words, and the smallest gram of each.
+
+    Both are empty for a text without a window. Rows are taken apart by the outer forms of explode, as the others
+    add filters that compute the windows again.
+    """
+    size = 8 if run_words >= 16 else 1
+    words = F.transform(F.array_remove(F.split("text", r"\s+"), ""), lambda w: F.xxhash64(w))
+    grams = _doubled(words, 1, size, lambda a, b: F.xxhash64(a, b))
+    both = _let(grams, lambda g: F.struct(
+        _doubled(g, size, run_words, lambda a, b: F.xxhash64(a, b)).alias("runs"),
+        _doubled(g, 1, run_words - size + 1, lambda a, b: F.least(a, b)).alias("marks")))
+    return documents.select("id", "digest", both.alias("both")).select("id", "digest", "both.runs", "both.marks")
+
+
+def repeated_words(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id",
+                   text: str = "text") -> DataFrame:
+    """(id, digest, words) of the documents with words to delete; words holds their numbers from 0.
+
+    Winnowing as for lines: the smallest gram of a window is its mark, and only documents that share a mark with
+    another one, or repeat a window of their own, have their windows compared. Documents come in the order of id
+    (null first) and digest. Equal texts are one document; of those with a window all words of the later ones go.
+    """
+    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    rows = rows.where(F.length("text") >= 2 * run_words - 1)
+    copies = cut(rows.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.max(F.struct("id")).alias("last")))
+    several = copies.where("first <> last").select("digest", "first")
+    firsts = rows.join(copies.select("digest", F.col("first.id").alias("first_id")), "digest")
+    firsts = firsts.where(F.col("id").eqNullSafe(F.col("first_id"))).select("id", "digest", "text").dropDuplicates(["digest"])
+    firsts = cut(firsts)
+    windows = _word_windows(firsts, run_words)
+    marked = windows.select("digest", (F.size(F.array_distinct("runs")) < F.size("runs")).alias("inner"),
+                            F.explode_outer(F.array_distinct("marks")).alias("mark"))
+    marked = cut(marked.where("mark IS NOT NULL"))
+    marks = (marked.groupBy("mark").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+             .where("low <> high").select("mark"))
+    chosen = cut(marked.join(cut(marks), "mark", "left_semi").select("digest")
+                 .unionByName(marked.where("inner").select("digest")).distinct())
+    found = (_word_windows(firsts.join(chosen, "digest", "left_semi").select("id", "digest", "text"), run_words)
+             .select("id", "digest", F.posexplode_outer("runs").alias("at", "run")).where("run IS NOT NULL"))
+    found = cut(found.select("run", F.struct("id", "digest", "at").alias("where")))
+    places = cut(found.groupBy("run").agg(F.min("where").alias("first"), F.max("where").alias("final"))
+                 .where("first <> final").select("run", "first"))
+    later = found.join(places, "run").where("where <> first")
+    spots = F.array_distinct(F.flatten(F.transform(
+        "windows", lambda w: F.sequence(w, w + F.lit(run_words - 1)))))
+    gone = (later.groupBy("where.id", "where.digest").agg(F.collect_set("where.at").alias("windows"))
+            .select("id", "digest", spots.alias("words")))
+    # Of equal texts the first keeps what no other text has before it; the others keep nothing.
+    equal = (rows.join(several, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")))
+             .select("id", "digest", F.size(F.array_remove(F.split("text", r"\s+"), "")).alias("n"))
+             .where(F.col("n") >= run_words).dropDuplicates(["id", "digest"])
+             .select("id", "digest", F.sequence(F.lit(0), F.col("n") - 1).alias("words")))
+    return gone.unionByName(equal)
+
+
+def passage_dedup(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """The rows of documents with later repeats of passages of `run_words` words or more deleted from the text.
+
+    Words are runs outside white space, compared as they are, whatever the line breaks; a word goes with the white
+    space after it. A passage may begin and end anywhere. Every row stays; the first occurrence is found as in
+    line_dedup, and rows equal in id and text get the same result. Columns of other names pass through.
+    """
+    own_id, own_digest, gone = (fresh(n, documents.columns) for n in ("own_id", "own_digest", "gone_words"))
+    marks = repeated_words(documents, run_words, id_col, text).select(
+        F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("words").alias(gone))
+    joined = documents.join(cut(marks), F.col(id_col).eqNullSafe(F.col(own_id))
+                            & (F.xxhash64(text) == F.col(own_digest)), "left")
+    pieces = F.split(text, r"(?<=\s)(?=\S)")
+    shift = F.when(F.col(text).rlike(r"^\s"), 1).otherwise(0)  # white space at the start is a piece without a word
+    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda i: i + shift))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "")
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
