@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .word_cache import LIMIT
 
-ENTRIES = 2000
 SUPPORT = 4
 PRECISION = 0.6
 PRIOR_WEIGHT = 4.0
@@ -70,28 +69,38 @@ def _entry_counts(labelled: DataFrame) -> DataFrame:
             .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")))
 
 
+def _evidence(toxic: int, n: int, base: float) -> float:
+    """Log likelihood ratio of the entry's own share of label 1 against the base rate."""
+    clean = n - toxic
+    return (toxic * np.log(toxic / n / base) if toxic else 0.0) + (
+        clean * np.log(clean / n / (1 - base)) if clean else 0.0)
+
+
 def learn_lexicon(labelled: DataFrame) -> list[str]:
-    """Entries that tell label 1, most frequent first: smoothed precision of PRECISION or more, SUPPORT documents.
+    """Entries that tell label 1, most evidence first: smoothed precision of PRECISION or more, SUPPORT texts.
 
-    The share is pulled towards the base rate by PRIOR_WEIGHT documents. An entry that a chosen beginning already
-    covers is left out. The lexicon is a model of at most ENTRIES entries.
+    Equal texts count once (with label 1 if any of them has it), so copies give no entry more support than their
+    text does. The share is pulled towards the base rate by PRIOR_WEIGHT texts. An entry that a passing beginning
+    already covers is left out; every other passing entry is in the lexicon.
     """
-    totals = labelled.agg(F.sum("y"), F.count("y")).first()
+    texts = cut(labelled.where("text IS NOT NULL").groupBy("text").agg(F.max("y").alias("y")))
+    totals = texts.agg(F.sum("y"), F.count("y")).first()
     if not totals[0] or totals[0] == totals[1]:
         return []
     base = totals[0] / totals[1]
-    found = (_entry_counts(labelled).where((F.col("toxic") >= SUPPORT) & (
-        (F.col("toxic") + PRIOR_WEIGHT * base) / (F.col("n") + PRIOR_WEIGHT) >= max(PRECISION, min(0.95, 3 * base))))
-             .orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(ENTRIES).collect())
-    chosen: list[str] = []
-    covered: set[str] = set()
-    for row in found:
-        word = row["entry"].rstrip("*")
-        if any(word[:k] + "*" in covered for k in range(1, len(word) + (row["entry"] == word))):
-            continue
-        chosen.append(row["entry"])
-        covered.add(row["entry"])
-    return chosen
+    passing = cut(_entry_counts(texts).where((F.col("toxic") >= SUPPORT) & (
+        (F.col("toxic") + PRIOR_WEIGHT * base) / (F.col("n") + PRIOR_WEIGHT) >= max(PRECISION, min(0.95, 3 * base)))))
+    # A beginning occurs in every text that its longer entries occur in, so it needs no order to come before them.
+    word = F.regexp_replace("entry", r"\*$", "")
+    starts = F.filter(F.array(*[F.when(F.length("word") > size, F.concat(F.substring("word", 1, size), F.lit("*")))
+                                for size in BEGINNINGS]), lambda x: x.isNotNull())
+    covers = passing.where(F.endswith("entry", F.lit("*"))).select(F.col("entry").alias("start"))
+    spelt = passing.select("entry", word.alias("word"))
+    covered = (spelt.select("entry", F.explode(starts).alias("start")).join(covers, "start", "left_semi")
+               .select("entry").distinct())
+    found = passing.join(covered, "entry", "left_anti").collect()
+    ranked = sorted((-round(float(_evidence(r["toxic"], r["n"], base)), 9), len(r["entry"]), r["entry"]) for r in found)
+    return [entry for _, _, entry in ranked]
 
 
 class Voters:
