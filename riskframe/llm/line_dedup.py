@@ -135,13 +135,13 @@ def repeated_words(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str
     rows = rows.where(F.length("text") >= 2 * run_words - 1)
     copies = cut(rows.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.max(F.struct("id")).alias("last")))
     several = copies.where("first <> last").select("digest", "first")
-    firsts = rows.join(copies.select("digest", F.col("first.id").alias("first_id")), "digest")
-    firsts = firsts.where(F.col("id").eqNullSafe(F.col("first_id"))).select("id", "digest", "text").dropDuplicates(["digest"])
-    firsts = cut(firsts)
-    windows = _word_windows(firsts, run_words)
-    marked = windows.select("digest", (F.size(F.array_distinct("runs")) < F.size("runs")).alias("inner"),
-                            F.explode_outer(F.array_distinct("marks")).alias("mark"))
-    marked = cut(marked.where("mark IS NOT NULL"))
+    firsts = (rows.join(several, "digest", "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id")))
+              .select("id", "digest", "text"))
+    # One row a text until the marks are compared, as a checkpoint of one row a mark is several times larger.
+    marked = cut(_word_windows(firsts, run_words).select(
+        "digest", (F.size(F.array_distinct("runs")) < F.size("runs")).alias("inner"),
+        F.array_distinct("marks").alias("marks")))
+    marked = marked.select("digest", "inner", F.explode("marks").alias("mark"))
     marks = (marked.groupBy("mark").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
              .where("low <> high").select("mark"))
     chosen = cut(marked.join(cut(marks), "mark", "left_semi").select("digest")
