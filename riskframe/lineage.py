@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a scratch folder only for a local master."""
+    """The checkpoint folder of the session; a scratch folder only where driver and executors are one process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="riskframe-")
     sc.setCheckpointDir(folder)
@@ -28,6 +30,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Parquet tables of one loop, in a folder of its own beside the checkpoints.
+
+    A checkpoint keeps the size estimate of the plan it came from, and joins multiply the estimates of their sides;
+    in a loop that joins its own results they grow without bound. A table read back has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, computed once and read back."""
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, last: int | None = None) -> None:
+        """Delete all tables, or those made before the last ones; nothing may read them any more."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [self.folder] if last is None else [f"{self.folder}/{i}" for i in range(self.made - last)]
+        for path in paths:
+            where = hadoop(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even partitions over all cores ahead of a step that multiplies rows.
 

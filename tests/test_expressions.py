@@ -87,7 +87,7 @@ def test_large_grid_is_expanded_through_buckets(spark):
     left = spark.range(3).withColumnRenamed("id", "a")
     grid = spark.range(50).withColumnRenamed("id", "b")
     small = sorted(map(tuple, join.expand_by(left, grid).collect()))
-    assert small == sorted(map(tuple, join.expand_by(left, grid, limit=7).collect()))
+    assert small == sorted(map(tuple, join.expand_by(left, grid, part=7).collect()))
     assert len(small) == 150
 
 
