@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import Tables, cut
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -13,30 +13,53 @@ def _ordered(edges: DataFrame) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _ranked(node: str) -> Column:
+    """Nodes in an order that has nothing to do with their numbers."""
+    return F.struct(F.xxhash64(F.col(node).cast("string")).alias("rank"), F.col(node).alias("node"))
+
+
+def _roots(points: DataFrame, tables: Tables) -> DataFrame:
+    """Pointers (a, to) followed to their ends, doubling their reach until none moves."""
+    while True:
+        step = points.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        followed = tables.keep(points.join(step, "to").select(
+            "a", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+        points = followed.select("a", "to")
+        if followed.where("moved").isEmpty():
+            return points
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node on an edge (a, b); component is the smallest node reachable.
 
-    Each round every node points to its smallest neighbour, pointers are followed twice, and the edges are
-    rewritten to the nodes pointed to; what is left shrinks by a factor each round, so the number of rounds is
-    logarithmic. Both sides of every join are read from the checkpoint folder, which lets adaptive execution
-    split a hub. Self-loops, repeated edges and edges with a null end are ignored; no edges give no rows.
+    Each round every node points to the neighbour of lowest random rank, or to itself, pointers are followed to
+    their ends, and the edges are rewritten to those. Only nodes below all their neighbours stay, at most half of
+    those on an edge and a third of a chain, so rounds are logarithmic whatever the order of the numbers; random
+    ranks keep the pointer chains short as well. Both sides of every join are read from files, so size estimates
+    stay those of the data and adaptive execution can split a hub. Self-loops, repeated edges and edges with a null
+    end are ignored; no edges give no rows.
     """
-    left = cut(_ordered(edges))
+    tables = Tables(edges.sparkSession, "components")
+    left = tables.keep(_ordered(edges))
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = cut(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
-        for _ in range(2):
-            step = points.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            points = points.join(step, "to").select("a", F.col("further").alias("to"))
-        points = cut(points)
+        points = _roots(tables.keep(
+            both.groupBy("a").agg(F.min(_ranked("b")).alias("low"))
+            .select("a", F.least("low", _ranked("a"))["node"].alias("to"))), tables)
         one = points.select("a", F.col("to").alias("x"))
         two = points.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        left = cut(_ordered(left.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        left = tables.keep(_ordered(left.join(one, "a").join(two, "b")
+                                    .select(F.col("x").alias("a"), F.col("y").alias("b"))))
         moved = points.select(F.col("a").alias("component"), "to")
-        labels = (points.select(F.col("a").alias("node"), F.col("to").alias("component")) if labels is None else
-                  cut(labels.join(moved, "component", "left")
-                      .select("node", F.coalesce("to", "component").alias("component"))))
+        labels = tables.keep(points.select(F.col("a").alias("node"), F.col("to").alias("component"))
+                             if labels is None else labels.join(moved, "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component")))
+        tables.drop(last=2)
     if labels is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+        out = cut(left.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    else:
+        lowest = labels.groupBy("component").agg(F.min("node").alias("lowest"))
+        out = cut(labels.join(lowest, "component").select("node", F.col("lowest").alias("component")))
+    tables.drop()
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import Tables, cut
 from .components import components
 
 TREES = 6
@@ -77,7 +77,8 @@ def forest_leaves(classes: DataFrame, cosine: float, trees: int = TREES, leaf: i
     reach = spill * math.sqrt((2 - 2 * cosine) / max(1, size[1] or 1))
     state = _projections(classes, trees, levels).withColumn("leaf", F.lit(1).cast("long")).withColumn(
         "open", F.lit(True))
-    state = cut(state)
+    tables = Tables(classes.sparkSession, "forest")
+    state = tables.keep(state)
     for level in range(levels):
         here = F.get("at", F.lit(level))
         nodes = (state.where("open").groupBy("tree", "leaf")
@@ -86,15 +87,18 @@ def forest_leaves(classes: DataFrame, cosine: float, trees: int = TREES, leaf: i
         nodes = nodes.select("tree", "leaf", F.get("q", F.lit(1)).alias("middle"), (
             (F.col("n") > leaf) & (F.get("q", F.lit(1)) - F.get("q", F.lit(0)) > reach)
             & (F.get("q", F.lit(2)) - F.get("q", F.lit(1)) > reach)).alias("split"))
-        joined = state.join(cut(nodes), ["tree", "leaf"], "left")
+        joined = state.join(tables.keep(nodes), ["tree", "leaf"], "left")
         low, high = here <= F.col("middle") + reach, here > F.col("middle") - reach
         sides = F.when(F.col("open") & F.col("split"), F.filter(F.array(
             F.when(low, F.col("leaf") * 2), F.when(high, F.col("leaf") * 2 + 1)), lambda x: x.isNotNull()))
-        state = cut(joined.select("cls", "tree", "at", F.explode(F.coalesce(sides, F.array("leaf"))).alias("leaf"),
+        state = tables.keep(joined.select("cls", "tree", "at", F.explode(F.coalesce(sides, F.array("leaf"))).alias("leaf"),
                                   (F.col("open") & F.coalesce("split", F.lit(False))).alias("open")))
         if not state.where("open").limit(1).count():
             break
-    return state.select("cls", "tree", "leaf")
+        tables.drop(last=1)
+    out = cut(state.select("cls", "tree", "leaf"))
+    tables.drop()
+    return out
 
 
 def _compare(cosine: float):
@@ -157,7 +161,7 @@ def embedding_classes(vectors: DataFrame, cosine: float = 0.95, id_col: str = "v
     rows = cut(unit_vectors(vectors.where(F.col(id_col).isNotNull()), id_col, vector))
     usable = rows.where("usable")
     classes = cut(usable.groupBy("unit").agg(F.min("id").alias("cls"), F.count("*").alias("copies")))
-    leaves = cut(forest_leaves(classes, cosine, trees, leaf))
+    leaves = forest_leaves(classes, cosine, trees, leaf)
     node = F.xxhash64("tree", "leaf")
     held = cut(leaves.select("cls", node.alias("number")).groupBy("cls").agg(
         F.array_sort(F.collect_set("number")).alias("leaves")))
