@@ -13,6 +13,7 @@ from ..lineage import checkpoint_dir, cut
 from . import language_id, quality_rank
 from .decontaminate import benchmark_hits
 from .embedding_forest import embedding_classes
+from .lexical_search import ranked_search
 from .license_scan import THRESHOLD, scan_licenses, templates
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
@@ -159,3 +160,30 @@ def _quality_rank(table):
     known = table("labels").where(remainder(5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     model = quality_rank.fit(documents.join(known, "doc_id"))
     return _judged(quality_rank.rank(documents, model), quality_rank.CUT)
+
+
+RANKED_SEARCH_SQL = r"""
+WITH bags AS (SELECT doc_id, regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS bag FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(bag)::BIGINT AS n, bag FROM bags WHERE len(bag) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+counts AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf
+           FROM (SELECT doc_id, n, unnest(bag) AS term FROM sizes) GROUP BY doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM counts, totals GROUP BY term),
+sought AS (SELECT item_id, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT
+                                   AS score
+           FROM sought JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", RANKED_SEARCH_SQL)
+def _ranked_search(table):
+    return ranked_search(table("documents"), table("benchmark"))
