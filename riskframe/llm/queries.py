@@ -16,8 +16,10 @@ from .embedding_forest import embedding_classes
 from .lexical_search import ranked_search
 from .license_scan import THRESHOLD, scan_licenses, templates
 from .line_dedup import line_dedup
+from .nearest import nearest_neighbours
 from .pieces import encode_pieces
 from .simhash import fingerprint_classes
+from .source_divergence import source_divergence
 from .token_files import token_digests, write_token_files
 from .toxicity import toxicity
 
@@ -162,6 +164,41 @@ def _quality_rank(table):
     return _judged(quality_rank.rank(documents, model), quality_rank.CUT)
 
 
+SOURCE_DIVERGENCE_SQL = r"""
+WITH bags AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS bag FROM documents),
+kinds AS (SELECT DISTINCT lang, source FROM bags),
+words AS (SELECT lang, source, id, term, count(*) AS n
+          FROM (SELECT lang, source, id, unnest(bag) AS term FROM bags) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM words GROUP BY lang, term HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT w.lang, w.source, w.term, sum(w.n) AS n FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term
+           GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, s.v,
+                 1 + (1000000000::HUGEINT * (k.n + 5)) // (s.total + 5 * s.v) AS q
+          FROM kinds g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+          LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+           FROM cells),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+          FROM kinds a JOIN kinds b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+rows AS (SELECT * FROM pairs UNION ALL
+         SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", SOURCE_DIVERGENCE_SQL)
+def _source_divergence(table):
+    return source_divergence(table("documents"))
+
+
 RANKED_SEARCH_SQL = r"""
 WITH bags AS (SELECT doc_id, regexp_extract_all(
                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -187,3 +224,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 @query("op12_ranked_search", RANKED_SEARCH_SQL)
 def _ranked_search(table):
     return ranked_search(table("documents"), table("benchmark"))
+
+
+@query("op13_nearest")
+def _nearest(table):
+    vectors = table("embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
