@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, spread
 
 TOP = 10
 SAMPLE = 20_000
@@ -342,7 +342,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP, i
     send = spark.sparkContext.broadcast
     forests, first = send(forests), send({**first, "end": end})
     packs = send(Packs(_leaf_sizes(classes, forests, first, kind)))
-    visits = cut(_visits(asked, forests, first, packs, top, kind))
+    visits = cut(_visits(spread(asked), forests, first, packs, top, kind))
     seen = np.zeros(len(packs.value.rows), np.int64)
     for pack, n in visits.groupBy("pack").count().collect():
         seen[pack] = n

@@ -7,30 +7,38 @@ the terms that they hold: a term that neither holds differs by a constant of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import Tables, cut
+from .arrow_text import flat
 
 LEAST_DOCUMENTS = 30
 TOP = 50
 EVERY_TERM = 2**31 - 1
 UNIT = 1_000_000_000
 PRIOR = 5
-_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes outside terms become blanks, A-Z lower case; all bytes of characters beyond ASCII belong to terms.
+_FOLD = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 _COUNTS = "lang string, source string, at int, n long"
 
 
-def _terms(text: Column) -> Column:
-    """Runs of letters and characters beyond ASCII, only A-Z in lower case; lower() is that where all is ASCII."""
-    plain = F.octet_length(text) == F.length(text)
-    low = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(low, F.lit(_PATTERN), F.lit(0))
+def _folded(rows: DataFrame) -> DataFrame:
+    """(number, source, text): the texts with terms in lower case, parted and preceded by blanks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = flat(batch.column(2))
+            texts = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(ends.astype(np.int64)),
+                                                     pa.py_buffer(data.tobytes().translate(_FOLD)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts.cast(pa.string())],
+                                             names=["number", "source", "text"])
+    return rows.select("number", "source", "text").mapInArrow(run, "number int, source string, text string")
 
 
 def _share(n: str, total: str) -> Column:
@@ -41,14 +49,14 @@ def _share(n: str, total: str) -> Column:
 def _term_counts(rows: DataFrame, langs: list, least: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(lang, source, at, n) summed over the documents' vectors, and (lang, at, term) of the kept terms.
 
-    Every row of `rows` (number, source, terms) begins with an empty term, which keeps no vocabulary empty.
+    Every row of `rows` (number, source, text) begins with an empty term, which keeps no vocabulary empty.
     """
     spark = rows.sparkSession
     parts, words = [], []
     for number, lang, documents in langs:
         if documents < least:
             continue
-        mine = rows.where(F.col("number") == number)
+        mine = rows.where(F.col("number") == number).select("source", F.split(F.concat(F.lit(" "), "text"), " ").alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=EVERY_TERM).fit(mine)
         vocabulary = model.vocabulary
         vector = F.unwrap_udt("vector")
@@ -106,25 +114,22 @@ def source_divergence(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: i
     without terms still make their group; an empty table gives no rows. Other columns are not read.
 
     The kept terms of one language pass through the driver, as CountVectorizer builds its vocabulary there; nothing
-    else does. Documents are cut into terms once, in a table partitioned by language. A hot group costs its partial
+    else does. Documents are written once by language, with all but their terms blanked. A hot group costs its partial
     sums, and a term held by all sources as many pairs as the result has.
     """
     spark = documents.sparkSession
     tables = Tables(spark, "divergence")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))],
-                            whole.alias("text"))
+    rows = documents.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in (
+        (lang, "lang"), (source, "source"), (text, "text"))])
     sizes = cut(rows.groupBy("lang", "source").agg(F.count("*").alias("documents")))
     known = sizes.groupBy("lang").agg(F.sum("documents").alias("documents")).orderBy("lang").collect()
     if not known:
         return spark.createDataFrame([], "lang string, source string, part string, item string, value long, rank int")
     langs = [(i, r["lang"], r["documents"]) for i, r in enumerate(known)]
     numbers = spark.createDataFrame([x[:2] for x in langs], "number int, lang string")
-    split = rows.join(F.broadcast(numbers), "lang").select(
-        "number", "source", F.concat(F.array(F.lit("")), _terms(F.col("text"))).alias("terms"))
-    folder = f"{tables.folder}/terms"
-    split.write.partitionBy("number").parquet(folder)
-    stored = spark.read.schema("source string, terms array<string>, number int").parquet(folder)
+    folder = f"{tables.folder}/texts"
+    _folded(rows.join(numbers, "lang")).write.partitionBy("number").parquet(folder)
+    stored = spark.read.schema("source string, text string, number int").parquet(folder)
     counts, vocabulary = _term_counts(stored, langs, least, tables)
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("v"))
     groups = (sizes.select("lang", "source").join(kept, "lang", "left")
