@@ -4,19 +4,22 @@ Lines are hashed, blank lines left out. Of every window of `run_lines` hashes th
 equal runs of that many lines always share one at the same place. Fingerprints that occur once end there. Around the
 others the windows are extended to both sides, equal windows are joined, and each but the first is a later repeat.
 A longer equal run is covered by its windows, so exactly the lines of runs of `run_lines` or more that occurred
-before are deleted. passage_dedup does the same over words, so that passages inside lines are found too.
+before are deleted. passage_dedup does the same over words, so that passages inside lines are found too: only windows
+around a mark that occurs twice are looked at again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import Tables, cut
 from .arrow_text import fresh
 
 RUN_LINES = 2
 RUN_WORDS = 51
+SENT_ROWS = 1_000_000  # so many digests of changed texts may be broadcast; beyond them the texts are joined
+HOT = 10_000  # places of a mark up to which its windows are compared in one partition
 
 
 def _lines(text: Column) -> Column:
@@ -69,6 +72,35 @@ def repeated_lines(documents: DataFrame, run_lines: int = RUN_LINES, id_col: str
     return joined.select("id", "digest", spots.alias("lines"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rewritten(documents: DataFrame, marks: DataFrame, id_col: str, text: str, rebuild) -> DataFrame:
+    """documents with text replaced by rebuild(text, gone) in the rows that marks (id, digest, gone) names.
+
+    Only the texts to change are shuffled, as long as the list of their digests is small enough to broadcast.
+    """
+    own_id, own_digest, gone = (fresh(n, documents.columns) for n in ("own_id", "own_digest", "gone"))
+    marks = cut(marks.select(F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("gone").alias(gone)))
+    digest = F.xxhash64(text)
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+
+    def changed(rows: DataFrame, how: str) -> DataFrame:
+        new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rebuild(F.col(text), F.col(gone)))
+        return rows.join(marks, on, how).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
+
+    if marks.count() > SENT_ROWS:
+        return changed(documents, "left")
+    listed = cut(marks.select(F.col(own_digest).alias(own_digest)).distinct())
+    same = digest == F.col(own_digest)
+    touched = documents.join(F.broadcast(listed), same, "left_semi")
+    rest = documents.join(F.broadcast(listed), same, "left_anti")
+    return rest.select(*columns).union(changed(touched, "left"))
+
+
 def line_dedup(documents: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
     """The rows of documents with later repeats of runs of `run_lines` lines deleted from the text.
@@ -78,21 +110,12 @@ def line_dedup(documents: DataFrame, run_lines: int = RUN_LINES, id_col: str = "
     occurrence is that of the smallest id (null first), then of the smaller hash of the text, then the upper one.
     Rows equal in id and text get the same result. Columns of other names pass through, whatever they are called.
     """
-    own_id, own_digest, gone = (fresh(n, documents.columns) for n in ("own_id", "own_digest", "gone_lines"))
-    marks = repeated_lines(documents, run_lines, id_col, text).select(
-        F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("lines").alias(gone))
-    joined = documents.join(cut(marks), F.col(id_col).eqNullSafe(F.col(own_id))
-                            & (F.xxhash64(text) == F.col(own_digest)), "left")
-    lines = _lines(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
+    def rebuild(whole: Column, gone: Column) -> Column:
+        return _let(_lines(whole), lambda lines: F.array_join(F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n"))
 
-
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    marks = repeated_lines(documents, run_lines, id_col, text).withColumnRenamed("lines", "gone")
+    return _rewritten(documents, marks, id_col, text, rebuild)
 
 
 def _doubled(values: Column, width: int, to: int, merge) -> Column:
@@ -108,8 +131,8 @@ def _doubled(values: Column, width: int, to: int, merge) -> Column:
     return values
 
 
-def _word_windows(documents: DataFrame, run_words: int) -> DataFrame:
-    """(id, digest, runs, marks) of (id, digest, text): hashes of all windows of words, and the smallest gram of each.
+def _word_windows(documents: DataFrame, run_words: int, *more: str) -> DataFrame:
+    """(id, digest, runs, marks, more columns) of (id, digest, text): hashes of all windows of words, and the smallest gram of each.
 
     Both are empty for a text without a window. Rows are taken apart by the outer forms of explode, as the others
     add filters that compute the windows again.
@@ -120,48 +143,103 @@ def _word_windows(documents: DataFrame, run_words: int) -> DataFrame:
     both = _let(grams, lambda g: F.struct(
         _doubled(g, size, run_words, lambda a, b: F.xxhash64(a, b)).alias("runs"),
         _doubled(g, 1, run_words - size + 1, lambda a, b: F.least(a, b)).alias("marks")))
-    return documents.select("id", "digest", both.alias("both")).select("id", "digest", "both.runs", "both.marks")
+    return (documents.select("id", "digest", *more, both.alias("both"))
+            .select("id", "digest", *more, "both.runs", "both.marks"))
+
+
+def _segments(marks: Column) -> Column:
+    """array<struct<mark, low, high>>: stretches of neighbouring windows with one mark."""
+    def cutting(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1),
+                          lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+        return _let(starts, lambda s: F.zip_with(
+            s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(m))),
+            lambda low, end: F.struct(F.get(m, low).alias("mark"), low.alias("low"), (end - 1).alias("high"))))
+    return _let(marks, lambda m: F.when(F.size(m) > 0, cutting(m)).otherwise(
+        F.array().cast("array<struct<mark: bigint, low: int, high: int>>")))
+
+
+def _seen_inside(runs: Column) -> Column:
+    """The windows of a text that repeat an earlier window of it."""
+    def later(ordered: Column) -> Column:
+        pairs = F.zip_with(F.slice(ordered, F.lit(1), F.size(ordered) - 1), F.slice(ordered, F.lit(2), F.size(ordered) - 1),
+                           lambda x, y: F.when(x["run"] == y["run"], y["at"]))
+        return F.filter(pairs, lambda x: x.isNotNull())
+
+    none = F.array().cast("array<int>")
+    return _let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), none).otherwise(_let(
+        F.array_sort(F.transform(r, lambda x, i: F.struct(x.alias("run"), i.alias("at")))), later)))
+
+
+def _joined(windows: Column, width: int) -> Column:
+    """array<struct<low, high>>: the words that windows (numbers in any order) cover, as stretches apart."""
+    def cutting(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1),
+                         lambda i: (i == 0) | (F.get(w, i) > F.get(w, i - 1) + width))
+        return _let(first, lambda f: F.zip_with(
+            f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(F.size(w))),
+            lambda low, end: F.struct(F.get(w, low).alias("low"), (F.get(w, end - 1) + width - 1).alias("high"))))
+    return _let(F.array_sort(F.array_distinct(windows)), cutting)
+
+
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """(id, digest, at) of rows (run, id, digest, at, hot) whose run an earlier document has.
+
+    The windows of a mark with few places meet in one partition; those of a hot mark are reduced to the first document
+    of each run ahead of the shuffle, and joined with that.
+    """
+    where = F.struct("id", "digest")
+    cold = (windows.where("NOT hot").withColumn("first", F.min(where).over(Window.partitionBy("run")))
+            .where(where > F.col("first")).select("id", "digest", "at"))
+    hot = windows.where("hot")
+    first = hot.groupBy("run").agg(F.min(where).alias("first"))
+    return cold.unionByName(hot.join(first, "run").where(where > F.col("first")).select("id", "digest", "at"))
 
 
 def repeated_words(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """(id, digest, words) of the documents with words to delete; words holds their numbers from 0.
+    """(id, digest, gone) of the documents with words to delete; gone holds stretches of their numbers from 0.
 
-    Winnowing as for lines: the smallest gram of a window is its mark, and only documents that share a mark with
-    another one, or repeat a window of their own, have their windows compared. Documents come in the order of id
-    (null first) and digest. Equal texts are one document; of those with a window all words of the later ones go.
+    Winnowing as for lines: of each window the smallest gram is its mark, and neighbouring windows mostly share one.
+    What is kept of a text is one row for each such stretch. Only the windows of marks that occur again, taken from
+    the text to both sides of the mark, are compared. Documents come in the order of id (null first) and digest.
+    Equal texts are one document; of those with a window all words of the later ones go.
     """
+    tables = Tables(documents.sparkSession, "passages")
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     rows = rows.where(F.length("text") >= 2 * run_words - 1)
-    copies = cut(rows.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.max(F.struct("id")).alias("last")))
-    several = copies.where("first <> last").select("digest", "first")
-    firsts = (rows.join(several, "digest", "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id")))
-              .select("id", "digest", "text"))
-    # One row a text until the marks are compared, as a checkpoint of one row a mark is several times larger.
-    marked = cut(_word_windows(firsts, run_words).select(
-        "digest", (F.size(F.array_distinct("runs")) < F.size("runs")).alias("inner"),
-        F.array_distinct("marks").alias("marks")))
-    marked = marked.select("digest", "inner", F.explode("marks").alias("mark"))
-    marks = (marked.groupBy("mark").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-             .where("low <> high").select("mark"))
-    chosen = cut(marked.join(cut(marks), "mark", "left_semi").select("digest")
-                 .unionByName(marked.where("inner").select("digest")).distinct())
-    found = (_word_windows(firsts.join(chosen, "digest", "left_semi").select("id", "digest", "text"), run_words)
-             .select("id", "digest", F.posexplode_outer("runs").alias("at", "run")).where("run IS NOT NULL"))
-    found = cut(found.select("run", F.struct("id", "digest", "at").alias("where")))
-    places = cut(found.groupBy("run").agg(F.min("where").alias("first"), F.max("where").alias("final"))
-                 .where("first <> final").select("run", "first"))
-    later = found.join(places, "run").where("where <> first")
-    spots = F.array_distinct(F.flatten(F.transform(
-        "windows", lambda w: F.sequence(w, w + F.lit(run_words - 1)))))
-    gone = (later.groupBy("where.id", "where.digest").agg(F.collect_set("where.at").alias("windows"))
-            .select("id", "digest", spots.alias("words")))
+    found = _word_windows(rows, run_words)  # a filter here would compute the windows twice
+    found = tables.keep(found.select("id", "digest", (F.size("runs") + (run_words - 1)).alias("words"),
+                                     _seen_inside(F.col("runs")).alias("inside"), _segments(F.col("marks")).alias("parts")))
+    found = found.where(F.size("parts") > 0)
+    copies = tables.keep(found.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.max(F.struct("id")).alias("last"))
+                         .where("first <> last").select("digest", "first"))
+    known = found.join(copies, "digest", "left")
+    own = known.where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id"))).dropDuplicates(["id", "digest"])
+    parts = tables.keep(own.select("id", "digest", F.inline("parts")))
+    places = parts.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1")
+    parts = parts.join(tables.keep(places), "mark").select(
+        "id", "digest", F.struct("low", "high", (F.col("places") > HOT).alias("hot")).alias("part"))
+    chosen = tables.keep(parts.groupBy("id", "digest").agg(F.collect_list("part").alias("parts")))
+    near = rows
+    if chosen.count() <= SENT_ROWS:
+        near = rows.join(F.broadcast(chosen.select("digest").distinct()), "digest", "left_semi")
+    on = F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.digest") == F.col("c.digest"))
+    near = near.alias("t").join(chosen.alias("c"), on).select("t.id", "t.digest", "text", "parts")
+    spread = F.flatten(F.transform("parts", lambda p: F.transform(
+        F.sequence(p["low"], p["high"]), lambda at: F.struct(at.alias("at"), p["hot"].alias("hot")))))
+    runs = _word_windows(near, run_words, "parts").select("id", "digest", "runs", F.explode_outer(spread).alias("x"))
+    windows = tables.keep(runs.select(F.get("runs", F.col("x.at")).alias("run"), "id", "digest", "x.at", "x.hot"))
+    inside = own.where(F.size("inside") > 0).select("id", "digest", F.explode("inside").alias("at"))
+    gone = (_later_windows(windows).unionByName(inside).groupBy("id", "digest")
+            .agg(F.collect_list("at").alias("windows")).select("id", "digest", _joined(F.col("windows"), run_words).alias("gone")))
     # Of equal texts the first keeps what no other text has before it; the others keep nothing.
-    equal = (rows.join(several, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")))
-             .select("id", "digest", F.size(F.array_remove(F.split("text", r"\s+"), "")).alias("n"))
-             .where(F.col("n") >= run_words).dropDuplicates(["id", "digest"])
-             .select("id", "digest", F.sequence(F.lit(0), F.col("n") - 1).alias("words")))
-    return gone.unionByName(equal)
+    equal = (known.where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")))
+             .dropDuplicates(["id", "digest"]).select("id", "digest", F.array(
+                 F.struct(F.lit(0).alias("low"), (F.col("words") - 1).alias("high"))).alias("gone")))
+    out = cut(gone.unionByName(equal))
+    tables.drop()
+    return out
 
 
 def passage_dedup(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id",
@@ -172,14 +250,10 @@ def passage_dedup(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str
     space after it. A passage may begin and end anywhere. Every row stays; the first occurrence is found as in
     line_dedup, and rows equal in id and text get the same result. Columns of other names pass through.
     """
-    own_id, own_digest, gone = (fresh(n, documents.columns) for n in ("own_id", "own_digest", "gone_words"))
-    marks = repeated_words(documents, run_words, id_col, text).select(
-        F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("words").alias(gone))
-    joined = documents.join(cut(marks), F.col(id_col).eqNullSafe(F.col(own_id))
-                            & (F.xxhash64(text) == F.col(own_digest)), "left")
-    pieces = F.split(text, r"(?<=\s)(?=\S)")
-    shift = F.when(F.col(text).rlike(r"^\s"), 1).otherwise(0)  # white space at the start is a piece without a word
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda i: i + shift))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "")
-    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
+    def rebuild(whole: Column, gone: Column) -> Column:
+        shift = F.when(whole.rlike(r"^\s"), 1).otherwise(0)  # white space at the start is a piece without a word
+        words = F.flatten(F.transform(gone, lambda g: F.sequence(g["low"] + shift, g["high"] + shift)))
+        return _let(F.split(whole, r"(?<=\s)(?=\S)"), lambda pieces: F.array_join(F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), words), lambda i: F.get(pieces, i)), ""))
+
+    return _rewritten(documents, repeated_words(documents, run_words, id_col, text), id_col, text, rebuild)

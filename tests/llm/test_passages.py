@@ -1,10 +1,12 @@
 """Passages that are one line, or begin and end inside lines, are deleted where they occurred before."""
 
 import random
+import time
 
 import pytest
 
 import corpus_pipeline
+from riskframe.llm import line_dedup
 from riskframe.llm.line_dedup import passage_dedup
 
 
@@ -50,3 +52,29 @@ def test_pipeline_deletes_a_long_line_seen_before(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     got = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 2: "second begin second end"}
+
+
+@pytest.mark.parametrize("name, limit", [("HOT", 1), ("SENT_ROWS", 0)])
+def test_hot_marks_and_many_changed_texts(spark, monkeypatch, name, limit):
+    monkeypatch.setattr(line_dedup, name, limit)
+    draw = random.Random(limit)
+    stock = [[draw.choice("abcdefgh") for _ in range(30)] for _ in range(3)]
+    rows = [(i, " ".join(draw.choice(stock)[draw.randrange(6):] + [draw.choice("xyz")] * draw.randrange(4)
+                         + draw.choice(stock))) for i in range(40)]
+    rows += [(40, rows[3][1]), (41, rows[3][1])]
+    got = passage_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == passages_by_hand(rows, 20)
+
+
+def test_long_texts_take_linear_time(spark):
+    """A text of 40,000 words and lines, twice with a change in the middle, and columns with names used inside."""
+    words = [f"w{i}" for i in range(40_000)]
+    one, two = "\n".join(words), "\n".join([*words[:20_000], "other", *words[20_000:]])
+    schema = "doc_id long, text string, id string, digest int, gone int, parts int, at int"
+    docs = spark.createDataFrame([(1, one, "x", 1, 1, 1, 1), (2, two, "y", 2, 2, 2, 2), (None, None, "z", 3, 3, 3, 3)], schema)
+    start = time.time()
+    got = {r.doc_id: r for r in passage_dedup(docs).collect()}
+    lines = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert time.time() - start < 90
+    assert got[1].text == one and got[2].text.split() == ["other"] and got[2].id == "y" and got[None].text is None
+    assert lines[1].text == one and lines[2].text.split() == ["other"] and lines[None].gone == 3
