@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, later repeats of runs of lines, then of passages of over 50 words, deleted from their texts."""
-    return passage_dedup(cut(line_dedup(docs)))
+    return passage_dedup(line_dedup(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
