@@ -11,12 +11,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.nulls import complete
 from ..functions.scalar import expit, logit
@@ -243,37 +242,77 @@ def crude_logit(df: DataFrame, entity: str, outcome: str) -> DataFrame:
     return df.groupBy(entity).agg(logit(F.avg(F.col(outcome).cast("double"))).alias("effect0"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _solve(h: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
-    """Newton update of the coefficients of each entity; NULL for a singular system."""
-    out = []
-    for hi, gi, bi in zip(h, g, b):
-        if bi is None:
-            out.append(None)
-            continue
-        p = len(gi)
-        m = np.zeros((p, p))
-        m[np.triu_indices(p)] = hi
-        m = m + np.triu(m, 1).T
-        scale = np.sqrt(np.diag(m))
-        if not np.all(scale > 1e-8):
-            out.append(None)
-            continue
-        unit = m / np.outer(scale, scale)
-        if np.linalg.cond(unit) > 1e12:
-            out.append(None)
-            continue
-        out.append([float(v) for v in np.asarray(bi) + np.clip(np.linalg.solve(unit, np.asarray(gi) / scale) / scale, -4, 4)])
-    return pd.Series(out)
+_DONE = 1e-14  # gain in log likelihood that a full step still promises
+_SURE = 1e-6  # what counts as zero in a certificate of separation, relative to its reach
+
+
+def _basis(h: np.ndarray, order: Sequence[int]) -> np.ndarray:
+    """Columns of each entity that are no combination of those before them in the given order."""
+    scale = np.sqrt(np.einsum("mjj->mj", h))
+    scale = np.where(scale > 0, scale, 1.0)
+    rest = h / (scale[:, :, None] * scale[:, None, :])
+    keep = np.zeros(scale.shape, bool)
+    for j in order:
+        own = rest[:, j, j]
+        keep[:, j] = own > 1e-9
+        rest = rest - np.where(keep[:, j], 1 / np.where(keep[:, j], own, 1.0), 0.0)[:, None, None] * (
+            rest[:, :, j, None] * rest[:, None, j, :])
+    return keep
+
+
+def _newton_steps(h: np.ndarray, g: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """One Newton step of every entity in the columns of its basis, all systems solved together."""
+    both = keep[:, :, None] & keep[:, None, :]
+    m = np.where(both, h, 0.0) + np.where(keep, 0.0, 1.0)[:, :, None] * np.eye(h.shape[1])
+    scale = np.sqrt(np.maximum(np.einsum("mjj->mj", m), 1e-300))
+    unit = m / (scale[:, :, None] * scale[:, None, :]) + 1e-14 * np.eye(h.shape[1])
+    return np.linalg.solve(unit, (np.where(keep, g, 0.0) / scale)[:, :, None])[:, :, 0] / scale
+
+
+def _advance(p: int, at: int, columns: list[str]):
+    upper = np.triu_indices(p)
+    order = [0, at, *[j for j in range(p) if j not in (0, at)]]
+
+    def run(batches):
+        for d in batches:
+            h = np.zeros((len(d), p, p))
+            h[:, upper[0], upper[1]] = np.stack(d["h"].to_list())
+            h[:, upper[1], upper[0]] = h[:, upper[0], upper[1]]
+            g, b, before = (np.stack(d[c].to_list()).astype(float) for c in ("g", "b", "before"))
+            first = d["best"].isna().to_numpy()
+            keep = np.stack([np.array(k, bool) if k is not None else np.ones(p, bool) for k in d["keep"]])
+            if first.any():
+                keep[first] = _basis(h[first], order)
+            step = _newton_steps(h, g, keep)
+            promise = np.einsum("mj,mj->m", np.where(keep, g, 0.0), step) / 2
+            ll, best = d["ll"].to_numpy(), d["best"].fillna(-np.inf).to_numpy()
+            worse = ll < best - 1e-9 * (1 + np.abs(ll))
+            reach = d["reach"].to_numpy()
+            apart = (reach > 0.1) & (d["mixed"].to_numpy() <= _SURE * reach) & (d["against"].to_numpy() <= _SURE * reach)
+            done = (promise <= _DONE) & ~worse
+            state = np.where(~keep[:, at], "singular", np.where(apart, "separated", np.where(done, "converged", "open")))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.nanmax(np.where(keep, np.abs(g) / np.sqrt(np.einsum("mjj->mj", h)), 0.0), axis=1)
+            new = np.where(worse[:, None], (b + before) / 2, b + step)
+            out = d[[columns[0]]].assign(
+                b=list(new), before=list(np.where(worse[:, None], before, b)),
+                step=list(np.where(worse[:, None], 0.0, step)), best=np.where(worse, best, ll), keep=list(keep), state=state,
+                score=score)
+            yield out[columns]
+    return run
 
 
 def logit_by(df: DataFrame, entity: str, outcome: str, term: str, factors: Sequence[str] = (),
-             numerics: Sequence[str] = (), steps: int = 12, limit: float = 15.0) -> DataFrame:
-    """A separate logistic regression per entity; one row per entity with the coefficient of `term`.
-
-    All entities advance together: each step sums gradient and curvature per entity over its cells,
-    then solves one small system per entity. NULL where the system is singular or a coefficient runs
-    off (separated data).
+             numerics: Sequence[str] = (), steps: int = 100) -> DataFrame:
+    """A separate logistic regression per entity: (entity, estimate, state, score) for the coefficient of `term`.
+
+    All entities advance together by Newton steps, halved where the likelihood falls; each pass sums gradient and
+    curvature per entity over its cells, and entities that are done leave. Columns that are combinations of earlier
+    ones in an entity (intercept and term come first) are left out there. state says how a fit ended: `converged`;
+    `singular`, where the term does not vary on its own; `separated`, where the data prove that no finite estimate
+    exists - the last step moves every cell with one outcome towards it or not at all, and no cell with both; `open`
+    after `steps` passes. The estimate is NULL unless converged. score is the largest gradient in standard errors at
+    the end; it is 0 but for rounding where the score equations hold.
     """
     cells = cut(_cells(df, [entity], [term, *factors, *numerics], outcome))
     terms = _terms(cells, factors, [term, *numerics], [], intercept=True)
@@ -281,15 +320,32 @@ def logit_by(df: DataFrame, entity: str, outcome: str, term: str, factors: Seque
     work = cells.select(entity, "n", "d", *[e.alias(f"x{j}") for j, (_, e, _) in enumerate(terms)])
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
     rate = cells.groupBy(entity).agg(((F.sum("d") + 0.5) / (F.sum("n") + 1)).alias("rate"))
-    coef = rate.select(entity, F.array(logit("rate"), *[F.lit(0.0)] * (p - 1)).alias("b"))
-    sums = [F.first("b").alias("b"), *[F.expr(f"sum(w * x{j} * x{k}) AS h{i}") for i, (j, k) in enumerate(pairs)],
-            *[F.expr(f"sum(r * x{j}) AS g{j}") for j in range(p)]]
+    start, nothing = F.array(logit("rate"), *[F.lit(0.0)] * (p - 1)), F.array(*[F.lit(0.0)] * p)
+    coef = rate.select(entity, start.alias("b"), start.alias("before"), nothing.alias("step"), F.lit(None).cast("double").alias("best"),
+                       F.lit(None).cast("array<boolean>").alias("keep"))
+    kept = ["b", "before", "step", "best", "keep"]
     lp = F.expr(" + ".join(f"b[{j}] * x{j}" for j in range(p)))
-    for _ in range(steps):
-        rows = work.join(coef, entity).withColumn("lp", lp).withColumn("pr", F.expr("1 / (1 + exp(-lp))"))
+    move = F.expr(" + ".join(f"step[{j}] * x{j}" for j in range(p)))
+    way = F.when(F.col("d") >= F.col("n"), F.col("move")).when(F.col("d") <= 0, -F.col("move"))
+    sums = [*[F.first(c).alias(c) for c in kept],
+            F.sum(F.expr("d * lp - n * (greatest(lp, 0) + log1p(exp(-abs(lp))))")).alias("ll"),
+            F.array(*[F.expr(f"sum(w * x{j} * x{k})") for j, k in pairs]).alias("h"),
+            F.array(*[F.expr(f"sum(r * x{j})") for j in range(p)]).alias("g"),
+            F.coalesce(F.max(way), F.lit(0.0)).alias("reach"), F.coalesce(F.max(-way), F.lit(0.0)).alias("against"),
+            F.coalesce(F.max(F.when(way.isNull(), F.abs("move"))), F.lit(0.0)).alias("mixed")]
+    kind = df.schema[entity].dataType.simpleString()
+    schema = (f"`{entity}` {kind}, b array<double>, before array<double>, step array<double>, best double, "
+              "keep array<boolean>, state string, score double")
+    columns = [entity, *kept, "state", "score"]
+    done, left = [], steps
+    while True:
+        rows = work.join(coef, entity).withColumns({"lp": lp, "move": move}).withColumn("pr", F.expr("1 / (1 + exp(-lp))"))
         rows = rows.selectExpr("*", "n * pr * (1 - pr) AS w", "d - n * pr AS r")
-        ent = rows.groupBy(entity).agg(*sums)
-        new = _solve(F.array(*[f"h{i}" for i in range(len(pairs))]), F.array(*[f"g{j}" for j in range(p)]), "b")
-        coef = cut(ent.select(entity, new.alias("b")))
-    off = F.exists("b", lambda v: F.abs(v) > limit)
-    return coef.select(entity, F.when(~off, F.get("b", at)).alias("estimate"))
+        state = cut(rows.groupBy(entity).agg(*sums).mapInPandas(_advance(p, at, columns), schema))
+        left -= 1
+        over = state if left <= 0 else state.where("state <> 'open'")
+        done.append(over.select(entity, F.when(F.col("state") == "converged", F.get("b", at)).alias("estimate"), "state", "score"))
+        coef = state.where("state = 'open'").select(entity, *kept)
+        if left <= 0 or coef.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as f, project as p
+from ..lineage import cut
+from ..operators import features as f, imputation as im, project as p
 from ..sources.schema import FAILURES
 from .registry import query
 from .summaries_q import rounded
@@ -84,3 +85,23 @@ def _(t):
 @query("f10_assign_folds", f"SELECT outcome, CAST({h32("'9:' || outcome || ':' || case_id")} % 5 AS INTEGER) AS fold, {N} FROM adm GROUP BY ALL")
 def _(t):
     return f.assign_folds(t.adm("case_id", "outcome"), 5, "outcome", "case_id", 9).groupBy("outcome", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f6_impute_multiple", """SELECT CAST(i AS INTEGER) AS imputation, cohort, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(comorb) AS BIGINT) AS filled,
+ CAST(0 AS BIGINT) AS missing, true AS kept, true AS whole, true AS pooled FROM adm, range(1, 4) r(i) GROUP BY i, cohort""")
+def _(t):
+    """Three completed tables of five sweeps: known values stay, filled ones are values of donors, and the total variance
+    of the pooled mean lies above that within the imputations."""
+    df = t.adm("case_id", "cohort", "age", "ses", "male", "vent", "f_cardiac", "comorb")
+    wide = f.dummies_full(df, ["ses"]).drop("ses.1")
+    methods = {**{f"ses.{v}": "logreg" for v in (2, 3, 4)}, "comorb": "pmm"}
+    done = im.impute_multiple(wide, methods, "case_id", seed=3, exclude=["cohort"])
+    known = df.select("case_id", F.col("comorb").alias("was"))
+    empty = sum((F.col(f"`{c}`").isNull().cast("int") for c in methods), F.lit(0))
+    per = done.join(known, "case_id").groupBy("imputation", "cohort").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("was").isNull().cast("bigint")).alias("filled"), F.sum(empty).cast("bigint").alias("missing"),
+        F.min(F.coalesce(F.col("was") == F.col("comorb"), F.lit(True))).alias("kept"), F.min(F.col("comorb") == F.floor("comorb")).alias("whole"),
+        F.avg("comorb").alias("estimate"), (F.var_samp("comorb") / F.count(F.lit(1))).alias("variance"))
+    per = cut(per)
+    pooled = im.pool(per, ["cohort"]).select("cohort", ((F.col("m") == 3) & (F.col("total") >= F.col("within"))).alias("pooled"))
+    return per.drop("estimate", "variance").join(pooled, "cohort")

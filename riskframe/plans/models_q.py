@@ -132,12 +132,22 @@ def _(t):
 FROM (SELECT entity, sum((outcome = 0 AND cohort = 0)::INT)::DOUBLE AS n00, sum((outcome = 0 AND cohort = 1)::INT)::DOUBLE AS n01,
  sum((outcome = 1 AND cohort = 0)::INT)::DOUBLE AS n10, sum((outcome = 1 AND cohort = 1)::INT)::DOUBLE AS n11 FROM adm GROUP BY entity)""")
 def _(t):
-    return rounded(fx.logit_by(t.adm("entity", "cohort", "outcome"), "entity", "outcome", "cohort", steps=20, limit=10.0), "estimate", digits=5)
-
-
-@query("m8_logit_by_adjusted")
-def _(t):
-    return rounded(fx.logit_by(t.adm("entity", "cohort", "outcome", "age_cat", "vent", "comorb"), "entity", "outcome", "cohort", ["age_cat"], ["vent", "comorb"], steps=8), "estimate", digits=4)
+    return rounded(fx.logit_by(t.adm("entity", "cohort", "outcome"), "entity", "outcome", "cohort").select("entity", "estimate"), "estimate", digits=5)
+
+
+@query("m8_logit_by_adjusted", """WITH c AS (SELECT entity, cohort, outcome FROM adm WHERE comorb IS NOT NULL)
+SELECT entity, true AS ended, true AS score_zero, true AS finite,
+ max(cohort) > min(cohort) AND max(outcome) > min(outcome) AND min(CASE WHEN cohort = 1 THEN outcome END) < max(CASE WHEN cohort = 1 THEN outcome END) AS varied FROM c GROUP BY entity""")
+def _(t):
+    """Every fit ends; where it converged the score equations are 0 and the estimate is finite, and term and outcome vary."""
+    df = t.adm("entity", "cohort", "outcome", "age_cat", "vent", "comorb")
+    out = fx.logit_by(df, "entity", "outcome", "cohort", ["age_cat"], ["vent", "comorb"])
+    own = complete(df).groupBy("entity").agg(
+        ((F.max("cohort") > F.min("cohort")) & (F.max("outcome") > F.min("outcome")) & F.coalesce(
+            F.min(F.when(F.col("cohort") == 1, F.col("outcome"))) < F.max(F.when(F.col("cohort") == 1, F.col("outcome"))), F.lit(False))).alias("varied"))
+    good = F.col("state") == "converged"
+    return out.join(own, "entity").select("entity", (F.col("state") != "open").alias("ended"), (~good | (F.col("score") < 1e-6)).alias("score_zero"),
+                                          (good == F.col("estimate").isNotNull()).alias("finite"), "varied")
 
 
 def entity_table(t):

@@ -90,3 +90,40 @@ def test_intercept_model(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "y int")
     row = m.fit_intercept(df, "y").first()
     assert row.estimate == pytest.approx(math.log(1 / 3))
+
+
+def _logit_by_hand(rows, at):
+    """Newton steps for one entity; rows (x..., n, d)."""
+    import numpy as np
+    x = np.array([[1.0, *r[:-2]] for r in rows])
+    n, d = (np.array([float(r[i]) for r in rows]) for i in (-2, -1))
+    b = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.lstsq((x * (n * p * (1 - p))[:, None]).T @ x, x.T @ (d - n * p), rcond=1e-10)[0]
+    return b[at]
+
+
+def test_separate_fits_end_in_a_state(spark):
+    """Large finite estimates stay, separated and singular entities are told from them."""
+    cells = {
+        "plain": [(0, 0, 9, 3), (1, 0, 8, 5), (0, 1, 7, 4), (1, 1, 6, 5)],
+        "large": [(0, 0, 10**6, 1), (1, 0, 10**6, 10**6 - 1), (0, 1, 10, 5)],
+        "complete": [(0, 0, 5, 0), (1, 0, 5, 5)],
+        "partly": [(0, 0, 9, 3), (1, 0, 4, 4), (0, 1, 7, 4)],
+        "constant": [(1, 0, 9, 3), (1, 1, 8, 5)],
+        "aliased": [(0, 1, 9, 3), (1, 1, 8, 5)],
+        "one outcome": [(0, 0, 9, 0), (1, 1, 8, 0)]}
+    rows = [(e, *c) for e, some in cells.items() for c in some]
+    df = spark.createDataFrame(rows, "e string, c int, v int, n int, d int")
+    cases = df.selectExpr("e", "c", "v", "inline(array(struct(1 AS y, d AS times), struct(0 AS y, n - d AS times)))").where("times > 0")
+    small = cases.where("times < 1000").selectExpr("e", "c", "v", "y", "explode(sequence(1, int(times))) AS i")
+    large = cases.where("times >= 1000").selectExpr("e", "c", "v", "y", "explode(sequence(1, int(times))) AS i")
+    got = {r.e: (r.estimate, r.state, r.score) for r in fx.logit_by(small.unionByName(large), "e", "y", "c", numerics=["v"]).collect()}
+    assert {e: s for e, (_, s, _) in got.items()} == {
+        "plain": "converged", "large": "converged", "complete": "separated", "partly": "separated", "constant": "singular",
+        "aliased": "converged", "one outcome": "separated"}
+    assert got["plain"][0] == pytest.approx(_logit_by_hand(cells["plain"], 1), abs=1e-6)
+    assert got["large"][0] == pytest.approx(2 * math.log(10**6 - 1), rel=1e-6)
+    assert got["aliased"][0] == pytest.approx(math.log(5 * 6 / (3 * 3)), abs=1e-6)
+    assert all((e is None) == (s != "converged") and (s != "converged" or score < 1e-6) for e, s, score in got.values())
