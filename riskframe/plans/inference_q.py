@@ -73,6 +73,26 @@ def _(t):
     return rounded(inf.wilcoxon_by(entity_long(t), "value", "g", "variable"), "w", "z", "p_value")
 
 
+# Orders of n untied values with k in the first group, by the sum s of its ranks, counted rank by rank.
+EXACT_SQL = """WITH RECURSIVE e AS (SELECT bedsize AS variable, entity, avg(risk)::DOUBLE AS value, max(highvolume) AS g FROM adm GROUP BY bedsize, entity),
+t AS (SELECT variable, count(*) AS n, CAST(sum(1 - g) AS BIGINT) AS n0, count(DISTINCT value) = count(*) AS untied FROM e GROUP BY variable),
+r AS (SELECT variable, CAST(sum(CASE WHEN g = 0 THEN rk END) AS BIGINT) AS r0 FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY value) AS rk FROM e) GROUP BY variable),
+c AS (SELECT 0::BIGINT AS i, 0::BIGINT AS k, 0::BIGINT AS s, 1::DOUBLE AS ways
+ UNION ALL SELECT c.i + 1, c.k + x.take, c.s + x.take * (c.i + 1), sum(c.ways) FROM c, (VALUES (0), (1)) x(take)
+ WHERE c.i < (SELECT max(n) FROM t WHERE n0 < 50 AND n - n0 < 50) AND c.k + x.take < 50 GROUP BY ALL),
+p AS (SELECT t.variable, sum(CASE WHEN c.s <= r0 THEN ways ELSE 0 END) / sum(ways) AS below, sum(CASE WHEN c.s >= r0 THEN ways ELSE 0 END) / sum(ways) AS above
+ FROM t JOIN r USING (variable) JOIN c ON c.i = t.n AND c.k = t.n0 WHERE untied AND n0 > 0 AND n > n0 AND n0 < 50 AND n - n0 < 50 GROUP BY t.variable)
+SELECT t.variable, round(least(1.0, 2 * least(below, above)), 8) AS p_exact, CASE WHEN below IS NULL THEN 'normal' ELSE 'exact' END AS method FROM t LEFT JOIN p USING (variable)"""
+
+
+@query("i3_wilcoxon_exact", EXACT_SQL)
+def _(t):
+    """Groups of up to 49 untied entities each, for every bed size; larger ones keep the normal form."""
+    e = t.adm("entity", "bedsize", "highvolume", "risk").groupBy(F.col("bedsize").alias("variable"), "entity").agg(
+        F.avg("risk").alias("value"), F.max("highvolume").alias("g"))
+    return rounded(inf.wilcoxon_exact_by(e, "value", "g", "variable").select("variable", "p_exact", "method"), "p_exact", digits=8)
+
+
 @query("i4_kruskal", f"""WITH e AS (SELECT entity, max(bedsize) AS grp, avg(vent)::DOUBLE AS value FROM adm GROUP BY entity),
 r AS (SELECT grp, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS r, count(*) OVER (PARTITION BY value)::DOUBLE AS tie FROM e),
 t AS (SELECT count(*)::DOUBLE AS n, sum(tie * tie - 1) AS ties FROM r), g AS (SELECT grp, sum(r) AS s, count(*)::DOUBLE AS k FROM r GROUP BY grp),
