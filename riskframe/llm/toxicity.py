@@ -9,7 +9,6 @@ is trained on the posteriors.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ PRECISION = 0.6
 PRIOR_WEIGHT = 4.0
 OWN_VOTERS = 40
 SHARED_VOTERS = 16
+LEXICON_BLOCK = 200_000  # entries that a task holds at a time
+SENT_ROWS = 500_000  # so many text hashes may be broadcast; beyond them the labelled texts are joined
 ROUNDS = 6
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -45,51 +46,62 @@ def entries_of(text: str) -> set[str]:
     return out
 
 
-def _entry_counts(labelled: DataFrame) -> DataFrame:
-    """(entry, toxic, n): documents of rows (y, text) with the entry, and those with label 1."""
+def _entry_counts(texts: DataFrame) -> DataFrame:
+    """(entry, toxic, n): weight of the rows (y, weight, text) with the entry, and of those with label 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts: dict[str, list[float]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            every = list(counts[0].keys() | counts[1].keys())
-            toxic = [counts[1][e] for e in every]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every), pa.array(toxic, pa.int64()),
-                 pa.array([counts[0][e] + t for e, t in zip(every, toxic)], pa.int64())], names=["entry", "toxic", "n"])
-            counts[0].clear()
-            counts[1].clear()
+                [pa.array(list(counts)), *[pa.array([c[i] for c in counts.values()], pa.float64()) for i in (0, 1)]],
+                names=["entry", "toxic", "n"])
+            counts.clear()
 
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts[y].update(entries_of(text.as_py() or ""))
-                if len(counts[0]) + len(counts[1]) > LIMIT:
+            for y, weight, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for entry in entries_of(text.as_py() or ""):
+                    own = counts.setdefault(entry, [0.0, 0.0])
+                    own[0] += y * weight
+                    own[1] += weight
+                if len(counts) > LIMIT:
                     yield from flush()
         yield from flush()
-    return (labelled.select("y", "text").mapInArrow(run, "entry string, toxic long, n long")
-            .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")))
+    return (texts.select("y", "weight", "text").mapInArrow(run, "entry string, toxic double, n double")
+            .groupBy("entry").agg(F.round(F.sum("toxic"), 6).alias("toxic"), F.round(F.sum("n"), 6).alias("n")))
 
 
-def _evidence(toxic: int, n: int, base: float) -> float:
-    """Log likelihood ratio of the entry's own share of label 1 against the base rate."""
-    clean = n - toxic
-    return (toxic * np.log(toxic / n / base) if toxic else 0.0) + (
-        clean * np.log(clean / n / (1 - base)) if clean else 0.0)
+def _hashes(text: str = "text") -> list:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")]
 
 
-def learn_lexicon(labelled: DataFrame) -> list[str]:
-    """Entries that tell label 1, most evidence first: smoothed precision of PRECISION or more, SUPPORT texts.
+def distinct_texts(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """(y, weight, text) of the rows (text) whose text hash (h1, h2, y) is labelled, and the numbers of texts in all and of label 1.
 
-    Equal texts count once (with label 1 if any of them has it), so copies give no entry more support than their
-    text does. The share is pulled towards the base rate by PRIOR_WEIGHT texts. An entry that a passing beginning
-    already covers is left out; every other passing entry is in the lexicon.
+    Equal texts weigh 1 together. Only hashes are shuffled and kept; texts are met where they are read, as long as
+    the labelled hashes are few enough to broadcast, and joined with them beyond that.
     """
-    texts = cut(labelled.where("text IS NOT NULL").groupBy("text").agg(F.max("y").alias("y")))
-    totals = texts.agg(F.sum("y"), F.count("y")).first()
-    if not totals[0] or totals[0] == totals[1]:
-        return []
-    base = totals[0] / totals[1]
-    passing = cut(_entry_counts(texts).where((F.col("toxic") >= SUPPORT) & (
-        (F.col("toxic") + PRIOR_WEIGHT * base) / (F.col("n") + PRIOR_WEIGHT) >= max(PRECISION, min(0.95, 3 * base)))))
+    copies = rows.select(*_hashes()).groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+    known = cut(labels.groupBy("h1", "h2").agg(F.max("y").alias("y")).join(copies, ["h1", "h2"])
+                .select("h1", "h2", "y", (1 / F.col("copies")).alias("weight")))
+    texts, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    sent = F.broadcast(known) if texts <= SENT_ROWS else known
+    return rows.select("text", *_hashes()).join(sent, ["h1", "h2"]).select("y", "weight", "text"), texts, toxic
+
+
+def passing_entries(texts: DataFrame, number: int, toxic: int) -> DataFrame:
+    """(entry, toxic, n, share, evidence) of the entries that tell label 1, kept in the checkpoint folder.
+
+    An entry passes with a smoothed share of label 1 of PRECISION or more in SUPPORT texts or more; the share is pulled
+    towards the base rate by PRIOR_WEIGHT texts, and evidence is the log likelihood ratio of the entry's own share
+    against the base rate. Entries that a passing beginning covers are left out, no others.
+    """
+    base = toxic / number
+    share = (F.col("toxic") + PRIOR_WEIGHT * base) / (F.col("n") + PRIOR_WEIGHT)
+    clean = F.col("n") - F.col("toxic")
+    evidence = F.col("toxic") * F.ln(F.col("toxic") / F.col("n") / base) + F.when(
+        clean > 0, clean * F.ln(clean / F.col("n") / (1 - base))).otherwise(0.0)
+    passing = cut(_entry_counts(texts).withColumn("share", share).where(
+        (F.col("toxic") >= SUPPORT) & (F.col("share") >= max(PRECISION, min(0.95, 3 * base)))))
     # A beginning occurs in every text that its longer entries occur in, so it needs no order to come before them.
     word = F.regexp_replace("entry", r"\*$", "")
     starts = F.filter(F.array(*[F.when(F.length("word") > size, F.concat(F.substring("word", 1, size), F.lit("*")))
@@ -98,26 +110,47 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     spelt = passing.select("entry", word.alias("word"))
     covered = (spelt.select("entry", F.explode(starts).alias("start")).join(covers, "start", "left_semi")
                .select("entry").distinct())
-    found = passing.join(covered, "entry", "left_anti").collect()
-    ranked = sorted((-round(float(_evidence(r["toxic"], r["n"], base)), 9), len(r["entry"]), r["entry"]) for r in found)
-    return [entry for _, _, entry in ranked]
+    return cut(passing.join(covered, "entry", "left_anti").withColumn("evidence", F.round(evidence, 9)))
+
+
+def _by_evidence(passing: DataFrame) -> DataFrame:
+    return passing.orderBy(F.desc("evidence"), F.length("entry"), "entry")
+
+
+def learn_lexicon(labelled: DataFrame) -> list[str]:
+    """The passing entries of rows (y, text), most evidence first; equal texts count once, with label 1 if any has it."""
+    rows = labelled.where("text IS NOT NULL")
+    texts, number, toxic = distinct_texts(rows, rows.select("y", *_hashes()))
+    if not toxic or toxic == number:
+        return []
+    return [r["entry"] for r in _by_evidence(passing_entries(texts, number, toxic)).collect()]
+
+
+def lexicon_blocks(passing: DataFrame) -> Iterator[list[tuple[str, int]]]:
+    """(entry, voter), in blocks of about LEXICON_BLOCK entries, however many pass.
+
+    The entries of most evidence have a voter each, the others share one with those of a like share of label 1.
+    """
+    own = [r["entry"] for r in _by_evidence(passing).limit(OWN_VOTERS).collect()]
+    yield [(entry, voter) for voter, entry in enumerate(own)]
+    band = F.least(F.lit(SHARED_VOTERS - 1), F.greatest(F.lit(0), F.floor(
+        (F.col("share") - PRECISION) / (1 - PRECISION) * SHARED_VOTERS))).cast("int")
+    rest = passing.where(~F.col("entry").isin(own)).select("entry", (band + OWN_VOTERS).alias("voter"))
+    blocks = -(-rest.count() // LEXICON_BLOCK)
+    for block in range(blocks):
+        yield [tuple(r) for r in rest.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == block).collect()]
 
 
 class Voters:
     """Votes of a text as the bits of one number."""
 
-    def __init__(self, lexicon: list[str]):
-        self.words: dict[str, int] = {}
-        self.beginnings: dict[str, int] = {}
-        for place, entry in enumerate(lexicon):
-            voter = place if place < OWN_VOTERS else OWN_VOTERS + place % SHARED_VOTERS
-            if entry.endswith("*"):
-                self.beginnings[entry[:-1]] = 1 << voter
-            else:
-                self.words[entry] = 1 << voter
+    def __init__(self, lexicon: list[tuple[str, int]]):
+        self.words = {entry: 1 << voter for entry, voter in lexicon if not entry.endswith("*")}
+        self.beginnings = {entry[:-1]: 1 << voter for entry, voter in lexicon if entry.endswith("*")}
         self.sizes = sorted({len(b) for b in self.beginnings})
 
     def votes(self, text: str) -> int:
+        """Of the entries alone."""
         out = 0
         words = set(_WORDS(text.lower()))
         for w in words & self.words.keys():
@@ -125,14 +158,18 @@ class Voters:
         for size in self.sizes:
             for b in {w[:size] for w in words if len(w) > size} & self.beginnings.keys():
                 out |= self.beginnings[b]
-        if not out:
-            out = 1 << (VOTERS - 1)
-        for i, pattern in enumerate(PATTERNS):
-            if pattern.search(text):
-                out |= 1 << (OWN_VOTERS + SHARED_VOTERS + i)
         return out
 
 
+def with_patterns(votes: int, text: str) -> int:
+    """The votes of the patterns too, and that of the clean side where no entry speaks."""
+    out = votes or 1 << (VOTERS - 1)
+    for i, pattern in enumerate(PATTERNS):
+        if pattern.search(text):
+            out |= 1 << (OWN_VOTERS + SHARED_VOTERS + i)
+    return out
+
+
 def _bits(votes: np.ndarray) -> np.ndarray:
     return (votes[:, None] >> np.arange(VOTERS) & 1).astype(float)
 
@@ -219,16 +256,27 @@ def fit_classifier(patterns: DataFrame, model: LabelModel, penalty: float = 0.1)
     return weights
 
 
-def _vote_rows(documents: DataFrame, lexicon: list[str], keep: list[str], text: str) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(keep).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(lexicon)
-        for batch in batches:
-            votes = [voters.votes(v.as_py() or "") for v in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(votes, pa.int64())],
-                                             names=[*keep, "__votes"])
-    return documents.select(*keep, text).mapInArrow(run, f"{schema}, __votes long")
+def _vote_rows(documents: DataFrame, blocks: Iterator[list[tuple[str, int]]]) -> DataFrame:
+    """(id, learn, votes) of rows (id, learn, text): the texts pass by one block of the lexicon after the other."""
+    kind = documents.schema["id"].dataType.simpleString()
+    send = documents.sparkSession.sparkContext.broadcast
+
+    def run(sent, last: bool):
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            voters = Voters(sent.value) if sent is not None else None
+            for batch in batches:
+                found = []
+                for before, text in zip(batch.column(3).to_pylist(), batch.column(2)):
+                    text = text.as_py() or ""
+                    found.append(with_patterns(before, text) if last else before | voters.votes(text))
+                own = [] if last else [batch.column(2)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *own, pa.array(found, pa.int64())],
+                                                 names=["id", "learn", *(["text"] if own else []), "votes"])
+        return votes
+    rows = documents.select("id", "learn", "text", F.lit(0).cast("long").alias("votes"))
+    for block in blocks:
+        rows = rows.mapInArrow(run(send(block), False), f"id {kind}, learn boolean, text string, votes long")
+    return rows.mapInArrow(run(None, True), f"id {kind}, learn boolean, votes long")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text: str = "text",
@@ -243,11 +291,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, learn, id_col: str = "doc_
     known = (labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id"))
              .agg(F.max(label).cast("int").alias("y")))
     base = documents.select(F.col(id_col).alias("id"), F.col(text).alias("text"), learn.alias("learn"))
-    labelled = base.where("learn").join(known, F.col("id") == F.col("__id")).select("y", "text")
-    lexicon = learn_lexicon(labelled)
-    if not lexicon:
+    taught = base.where("learn AND text IS NOT NULL")
+    hashed = taught.select("id", *_hashes()).join(known, F.col("id") == F.col("__id")).select("h1", "h2", "y")
+    texts, number, toxic = distinct_texts(taught, hashed)
+    if not toxic or toxic == number:
+        return documents.select(F.col(id_col), F.lit(0.0).alias("score"))
+    passing = passing_entries(texts, number, toxic)
+    if passing.isEmpty():
         return documents.select(F.col(id_col), F.lit(0.0).alias("score"))
-    votes = cut(_vote_rows(base, lexicon, ["id", "learn"], "text"))
+    votes = cut(_vote_rows(base, lexicon_blocks(passing)).withColumnRenamed("votes", "__votes"))
     taught = votes.where("learn").join(known, F.col("id") == F.col("__id"), "left")
     patterns = cut(taught.groupBy(F.col("__votes").alias("votes"), F.coalesce("y", F.lit(-1)).alias("y"))
                    .agg(F.count("*").cast("double").alias("n")))
