@@ -131,20 +131,24 @@ def _doubled(values: Column, width: int, to: int, merge) -> Column:
     return values
 
 
-def _word_windows(documents: DataFrame, run_words: int, *more: str) -> DataFrame:
-    """(id, digest, runs, marks, more columns) of (id, digest, text): hashes of all windows of words, and the smallest gram of each.
+def _size(run_words: int) -> int:
+    return 8 if run_words >= 16 else 1
 
-    Both are empty for a text without a window. Rows are taken apart by the outer forms of explode, as the others
-    add filters that compute the windows again.
-    """
-    size = 8 if run_words >= 16 else 1
-    words = F.transform(F.array_remove(F.split("text", r"\s+"), ""), lambda w: F.xxhash64(w))
-    grams = _doubled(words, 1, size, lambda a, b: F.xxhash64(a, b))
-    both = _let(grams, lambda g: F.struct(
-        _doubled(g, size, run_words, lambda a, b: F.xxhash64(a, b)).alias("runs"),
-        _doubled(g, 1, run_words - size + 1, lambda a, b: F.least(a, b)).alias("marks")))
-    return (documents.select("id", "digest", *more, both.alias("both"))
-            .select("id", "digest", *more, "both.runs", "both.marks"))
+
+def _grams(text: Column, run_words: int) -> Column:
+    """Hashes of all grams of a text; a window of run_words words has run_words - _size(run_words) + 1 of them."""
+    words = F.transform(F.array_remove(F.split(text, r"\s+"), ""), lambda w: F.xxhash64(w))
+    return _doubled(words, 1, _size(run_words), lambda a, b: F.xxhash64(a, b))
+
+
+def _runs(grams: Column, run_words: int) -> Column:
+    """Hashes of all windows."""
+    return _doubled(grams, _size(run_words), run_words, lambda a, b: F.xxhash64(a, b))
+
+
+def _marks(grams: Column, run_words: int) -> Column:
+    """The smallest gram of every window."""
+    return _doubled(grams, 1, run_words - _size(run_words) + 1, lambda a, b: F.least(a, b))
 
 
 def _segments(marks: Column) -> Column:
@@ -159,16 +163,16 @@ def _segments(marks: Column) -> Column:
         F.array().cast("array<struct<mark: bigint, low: int, high: int>>")))
 
 
-def _seen_inside(runs: Column) -> Column:
-    """The windows of a text that repeat an earlier window of it."""
+def _seen_inside(grams: Column, run_words: int) -> Column:
+    """The windows of a text that repeat an earlier window of it; there are none unless a gram is there twice."""
     def later(ordered: Column) -> Column:
         pairs = F.zip_with(F.slice(ordered, F.lit(1), F.size(ordered) - 1), F.slice(ordered, F.lit(2), F.size(ordered) - 1),
                            lambda x, y: F.when(x["run"] == y["run"], y["at"]))
-        return F.filter(pairs, lambda x: x.isNotNull())
+        return F.when(F.size(ordered) > 1, F.filter(pairs, lambda x: x.isNotNull())).otherwise(none)
 
     none = F.array().cast("array<int>")
-    return _let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), none).otherwise(_let(
-        F.array_sort(F.transform(r, lambda x, i: F.struct(x.alias("run"), i.alias("at")))), later)))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), none).otherwise(_let(
+        F.array_sort(F.transform(_runs(grams, run_words), lambda x, i: F.struct(x.alias("run"), i.alias("at")))), later))
 
 
 def _joined(windows: Column, width: int) -> Column:
@@ -208,9 +212,11 @@ def repeated_words(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str
     tables = Tables(documents.sparkSession, "passages")
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     rows = rows.where(F.length("text") >= 2 * run_words - 1)
-    found = _word_windows(rows, run_words)  # a filter here would compute the windows twice
-    found = tables.keep(found.select("id", "digest", (F.size("runs") + (run_words - 1)).alias("words"),
-                                     _seen_inside(F.col("runs")).alias("inside"), _segments(F.col("marks")).alias("parts")))
+    # Taken apart in one expression: a filter or a second use of a column would compute the windows again.
+    found = rows.select("id", "digest", _let(_grams(F.col("text"), run_words), lambda g: F.struct(
+        (F.size(g) + (_size(run_words) - 1)).alias("words"), _seen_inside(g, run_words).alias("inside"),
+        _segments(_marks(g, run_words)).alias("parts"))).alias("both"))
+    found = tables.keep(found.select("id", "digest", "both.words", "both.inside", "both.parts"))
     found = found.where(F.size("parts") > 0)
     copies = tables.keep(found.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.max(F.struct("id")).alias("last"))
                          .where("first <> last").select("digest", "first"))
@@ -226,10 +232,11 @@ def repeated_words(documents: DataFrame, run_words: int = RUN_WORDS, id_col: str
         near = rows.join(F.broadcast(chosen.select("digest").distinct()), "digest", "left_semi")
     on = F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.digest") == F.col("c.digest"))
     near = near.alias("t").join(chosen.alias("c"), on).select("t.id", "t.digest", "text", "parts")
-    spread = F.flatten(F.transform("parts", lambda p: F.transform(
-        F.sequence(p["low"], p["high"]), lambda at: F.struct(at.alias("at"), p["hot"].alias("hot")))))
-    runs = _word_windows(near, run_words, "parts").select("id", "digest", "runs", F.explode_outer(spread).alias("x"))
-    windows = tables.keep(runs.select(F.get("runs", F.col("x.at")).alias("run"), "id", "digest", "x.at", "x.hot"))
+    taken = _let(_runs(_grams(F.col("text"), run_words), run_words), lambda r: F.flatten(F.transform(
+        "parts", lambda p: F.transform(F.sequence(p["low"], p["high"]), lambda at: F.struct(
+            F.get(r, at).alias("run"), at.alias("at"), p["hot"].alias("hot"))))))
+    windows = near.select("id", "digest", F.explode_outer(taken).alias("x"))
+    windows = tables.keep(windows.select("x.run", "id", "digest", "x.at", "x.hot"))
     inside = own.where(F.size("inside") > 0).select("id", "digest", F.explode("inside").alias("at"))
     gone = (_later_windows(windows).unionByName(inside).groupBy("id", "digest")
             .agg(F.collect_list("at").alias("windows")).select("id", "digest", _joined(F.col("windows"), run_words).alias("gone")))

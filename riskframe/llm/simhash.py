@@ -31,9 +31,9 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 # Search over wide fingerprints, for similarities a 64-bit word cannot resolve.
 WIDE_WORDS = 8
 WIDE_SEGMENTS = 22
-EXACT_BITS = 8
-FOLLOWERS = (1, 2)
-NEAR_WORD = 21
+EXACT_BITS = 5
+SENT_WORDS = 2  # words that candidates are compared by
+SMALL_GROUP = 64
 BLOCK_ROWS = 512
 
 # The generator polynomial of the code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -99,10 +99,7 @@ def exact_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of wide fingerprints (rows of 64-bit words): each 23-bit segment's codewords with bits of a later one.
-
-    Every segment is paired with each of the FOLLOWERS, as one exact part alone loses pairs at the bound.
-    """
+    """Keys of wide fingerprints (rows of 64-bit words): each 23-bit segment's codewords with bits of the next one."""
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
     scale = 1 << np.arange(22, -1, -1, dtype=np.int64)
     parts = [bits[:, 23 * s:23 * s + 23].astype(np.int64) @ scale for s in range(WIDE_SEGMENTS)]
@@ -110,11 +107,9 @@ def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s, part in enumerate(parts):
         index, there = codeword_indices(part)
         row, column = np.nonzero(there)
-        for turn, step in enumerate(FOLLOWERS):
-            follow = parts[(s + step) % WIDE_SEGMENTS][row] >> (23 - EXACT_BITS)
-            kind = 7 + s + WIDE_SEGMENTS * turn
-            keys.append(((kind << EXACT_BITS | follow) << 12) | index[row, column])
-            rows.append(row)
+        follow = parts[(s + 1) % WIDE_SEGMENTS][row] >> (23 - EXACT_BITS)
+        keys.append((((7 + s) << EXACT_BITS | follow) << 12) | index[row, column])
+        rows.append(row)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -158,14 +153,16 @@ def spanning_edges(words: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _has_partner(words: np.ndarray, most: int) -> np.ndarray:
-    out = np.zeros(len(words), bool)
-    for x in range(len(words)):
-        if not out[x]:
-            near = np.bitwise_count(words ^ words[x]) <= most
-            if np.count_nonzero(near) > 1:
-                out |= near
-    return out
+def near_pairs(words: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x < y that differ in at most `most` bits, y before ends[x], the end of the group of x."""
+    ones, others = [], []
+    rows, apart = np.arange(len(words)), 1
+    while len(rows := rows[ends[rows] > rows + apart]):
+        near = rows[np.bitwise_count(words[rows] ^ words[rows + apart]).sum(1, dtype=np.int64) <= most]
+        ones.append(near)
+        others.append(near + apart)
+        apart += 1
+    return (np.concatenate(ones), np.concatenate(others)) if ones else (rows, rows)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bool, np.ndarray, pa.RecordBatch]]:
@@ -208,12 +205,9 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return np.stack([table.column(2 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
 
 
-def _compare(width: int, most: int, sides: bool, edges_out: bool):
-    """A mapInArrow function over (key, id, w0.., [side]) sorted by key.
-
-    It gives edges (kind 0: a, b), or (kind 2: key, id) of rows with a partner where edges_out is False, and the
-    rows of oversized keys again (kind 1: key, id).
-    """
+def _compare(width: int, most: int, sides: bool):
+    """A mapInArrow function over (key, id, w0.., [side]) sorted by key: edges (kind 0: a, b) that connect the ids of
+    each key that are near, and the rows of oversized keys again (kind 1: key, id)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,47 +219,37 @@ def _compare(width: int, most: int, sides: bool, edges_out: bool):
                                                   pa.array(ids)], schema=schema)
                 continue
             size = np.diff(np.concatenate((first, [len(key)])))
-            several = np.flatnonzero(size > 1)
-            if not len(several):
-                continue
             words = _matrix(table, width)
-            out: list[tuple[int, int]] = []
-            twos = first[several[size[several] == 2]]
-            near = np.bitwise_count(words[twos] ^ words[twos + 1]).sum(1, dtype=np.int64) <= most
-            for at in twos[near].tolist():
-                out += [(at, at + 1)] if edges_out else [at, at + 1]
-            for g in several[size[several] > 2].tolist():
+            small = size <= SMALL_GROUP
+            ends = np.repeat(np.where(small, first + size, 0), size)
+            x, y = near_pairs(words, ends, most)
+            out = list(zip(ids[x].tolist(), ids[y].tolist()))
+            for g in np.flatnonzero(~small).tolist():
                 at, n = int(first[g]), int(size[g])
-                if edges_out:
-                    out += [(at + x, at + y) for x, y in spanning_edges(words[at:at + n], most)]
-                else:
-                    out += (at + np.flatnonzero(_has_partner(words[at:at + n, 0], most))).tolist()
-            if edges_out:
-                pairs = [(int(ids[x]), int(ids[y])) for x, y in out]
-                pairs = [p for p in pairs if forest.joins(*p)]
-                a, b, kind = [p[0] for p in pairs], [p[1] for p in pairs], 0
-            else:
-                a, b, kind = key[out], ids[out], 2
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)),
-                                                  pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                out += [(int(ids[at + i]), int(ids[at + j])) for i, j in spanning_edges(words[at:at + n], most)]
+            out = [p for p in out if forest.joins(*p)]
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(out), np.int32)), pa.array([p[0] for p in out], pa.int64()),
+                     pa.array([p[1] for p in out], pa.int64())], schema=schema)
     return run
 
 
-def _bucket_pass(rows: DataFrame, width: int, most: int, edges_out: bool) -> DataFrame:
-    """Compare the rows (key, id, w0..) of each key; keys of over GROUP_LIMIT rows are compared block by block.
+def _bucket_pass(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """Edges (a, b) among the rows (key, id, w0..) of each key; keys of over GROUP_LIMIT rows go block by block.
 
     An oversized key is cut into blocks by a hash of the id, and every pair of blocks is a group of its own, so no
     task holds more than two blocks; in-group work is the only thing that grows faster than the rows.
     """
     def compared(df: DataFrame, sides: bool) -> DataFrame:
         return (df.repartition("key").sortWithinPartitions("key")
-                .mapInArrow(_compare(width, most, sides, edges_out), "kind int, a long, b long"))
+                .mapInArrow(_compare(width, most, sides), "kind int, a long, b long"))
 
     found = cut(compared(rows, False))
     over = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    edges = found.where("kind <> 1").select("a", "b")
     if over.isEmpty():
-        return found.where("kind <> 1")
+        return edges
     sizes = (over.groupBy("key").count()
              .select("key", F.ceil(F.col("count") / (GROUP_LIMIT // 2)).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -273,11 +257,7 @@ def _bucket_pass(rows: DataFrame, width: int, most: int, edges_out: bool) -> Dat
     cells = (rows.join(cut(sizes), "key").withColumn("block", block).select("*", other)
              .withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
              .drop("blocks", "block", "other"))
-    again = compared(cells, True)
-    if not edges_out:  # a row is named once for each cell it has a partner in; the key is given back
-        named = again.select(F.col("b").alias("id")).distinct()
-        again = over.join(named, "id").select(F.lit(2).alias("kind"), F.col("key").alias("a"), F.col("id").alias("b"))
-    return found.where("kind <> 1").unionByName(again)
+    return edges.unionByName(compared(cells, True).select("a", "b"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", size: int = 4, words: int = 1) -> DataFrame:
@@ -320,8 +300,7 @@ def hamming_groups(words: DataFrame) -> DataFrame:
     Every such pair shares a key (see exact_keys), and all rows of a key are compared, so no link is lost.
     """
     rows = _key_rows(words.select(F.col("w0").alias("id"), "w0"), False)
-    edges = _bucket_pass(rows, 1, RADIUS, True)
-    return components(edges.select("a", "b"))
+    return components(_bucket_pass(rows, 1, RADIUS))
 
 
 def fingerprint_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,7 +312,7 @@ def fingerprint_classes(documents: DataFrame, id_col: str = "doc_id", text: str
     """
     rows = cut(fingerprints(documents.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text"))
     firsts = cut(rows.groupBy("w0").agg(F.min("id").alias("first")))
-    groups = cut(hamming_groups(firsts))
+    groups = hamming_groups(firsts)
     joined = firsts.join(groups.withColumnRenamed("node", "w0"), "w0", "left").select(
         "w0", "first", F.coalesce("component", "w0").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -432,10 +411,9 @@ def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: i
     """(id, component) of near duplicates by shingle sets; component is the smallest id of the group.
 
     Links are Jaccard similarities of the `size`-word shingle sets of at least `similarity`, computed exactly (over
-    64-bit hashes). 512-bit fingerprints only search: candidates share a Golay index of one of 22 segments and 8
-    bits of one of two others. Those that have in some key a partner within NEAR_WORD bits of the first word, a few,
-    are dealt out again with all words; fingerprints within similar_bits(similarity) are connected, and inside what
-    is connected all shingle sets are compared. Equal sets are one class from the start, so copies cost one row.
+    64-bit hashes). 512-bit fingerprints only search: candidates share a Golay index of one of 22 segments and
+    EXACT_BITS of the next. Those whose first SENT_WORDS words differ in no more bits than similar_bits(similarity)
+    allows are connected, and inside what is connected all shingle sets are compared. Equal sets are one class from the start, so copies cost one row.
     Texts without words, null ones too, are copies of each other. Rows with a null id are left out.
     """
     own = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
@@ -443,16 +421,14 @@ def near_duplicate_groups(documents: DataFrame, similarity: float = 0.8, size: i
     rows = cut(shingle_rows(own, size, WIDE_WORDS))
     classes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", *words)).alias("first"))
                   .select(F.col("digest").alias("id"), F.col("first.id").alias("first"), *[f"first.{w}" for w in words]))
-    near = _bucket_pass(_key_rows(classes, True), 1, NEAR_WORD, False)
-    suspects = cut(near.select(F.col("b").alias("id")).distinct())
-    wide = _key_rows(cut(classes.join(suspects, "id")), True, WIDE_WORDS)
-    edges = _bucket_pass(wide, WIDE_WORDS, similar_bits(similarity), True).select("a", "b")
-    loose = cut(components(cut(edges)))
+    near = _key_rows(classes, True, SENT_WORDS)
+    edges = _bucket_pass(near, SENT_WORDS, similar_bits(similarity, SENT_WORDS))
+    loose = components(edges)
     wanted = cut(classes.join(loose, F.col("id") == F.col("node")).select("node", "component", "first"))
     texts = own.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     sets = (shingle_rows(texts, size, 0, True).select(F.col("id").alias("first"), F.col("digest").alias("node"), "shingles"))
     members = cut(wanted.join(sets, ["first", "node"]).dropDuplicates(["node"]).select("component", "node", "shingles"))
-    groups = cut(components(cut(_verified(members, similarity))))
+    groups = components(_verified(members, similarity))
     named = cut(classes.select(F.col("id").alias("digest"), "first")
                 .join(groups.withColumnRenamed("node", "digest"), "digest", "left")
                 .select("digest", "first", F.coalesce("component", "digest").alias("group")))
