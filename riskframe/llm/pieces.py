@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -20,6 +21,9 @@ from .word_cache import Cache, quiet_collector
 MARK = "▁"
 _ENDED = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~]+)").fullmatch
 _CHUNKS = re.compile(" *[^ ]+| +$").findall
+TOGETHER = 8  # words of one length from which on they are encoded together
+MOST_TOGETHER = 20_000
+LONGEST_TOGETHER = 64
 
 
 class DoubleArray:
@@ -112,18 +116,29 @@ class PieceModel:
                     self.ahead.setdefault(piece[k], set()).add(piece[:k])
 
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """The trie's base, check and value, and the scores by id."""
+        if not hasattr(self, "_arrays"):
+            score = np.zeros(len(self.bytes_of), np.int64)
+            score[list(self.score)] = list(self.score.values())
+            self._arrays = (*(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), score)
+        return self._arrays
+
+
 class Coder:
     """encode(text) -> array of ids, decode(ids) -> text."""
 
     def __init__(self, model: PieceModel):
         self.model = model
+        self.code = np.dtype(model.kind).char
         self.words = Cache(self._with_marks)
         self.heads = Cache(lambda w: self._ids([model.byte_id[10]]) + (self._word(w) if w else b""))
         self.chunks = Cache(lambda c: self._word(c.replace(" ", MARK)))
+        self.ready: dict[str, bytes] = {}
         quiet_collector()
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.model.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _with_marks(self, word: str) -> bytes:
         """A blank and a word; the marks after it are coded apart if no piece could span the place."""
@@ -136,7 +151,92 @@ class Coder:
         return self.words[split[1]] + self.chunks[split[2]]
 
     def _word(self, marked: str) -> bytes:
-        return self._ids(self.best(marked))
+        known = self.ready.get(marked)
+        return self._ids(self.best(marked)) if known is None else known
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encode the words of the texts that no cache has, all of one length together, for the calls of encode."""
+        for cache in (self.words, self.heads, self.chunks):
+            cache.trim()
+        words: set[str] = set()
+        heads: set[str] = set()
+        for text in texts:
+            first, *lines = text.split("\n")
+            words.update(first.split(" "))
+            for line in lines:
+                head, *rest = line.split(" ")
+                heads.add(head)
+                words.update(rest)
+        needed = heads - self.heads.keys()
+        for word in words - self.words.keys():
+            split = _ENDED(word)
+            if split is not None:
+                ahead = self.model.ahead.get(split[2][0])
+                if not (ahead and any((MARK + split[1]).endswith(a) for a in ahead)):
+                    needed.add(split[2])
+                    word = split[1]
+            needed.add(MARK + word)
+        needed.discard("")
+        by_length: dict[int, list[str]] = {}
+        for marked in needed:
+            by_length.setdefault(len(marked.encode()), []).append(marked)
+        self.ready = {}
+        for length, some in by_length.items():
+            if len(some) < TOGETHER or length > LONGEST_TOGETHER:
+                continue
+            for start in range(0, len(some), MOST_TOGETHER):
+                part = some[start:start + MOST_TOGETHER]
+                self.ready.update(zip(part, map(self._ids, self.best_of_length(part, length))))
+
+    def best_of_length(self, marked: list[str], n: int) -> list[list[int]]:
+        """best() of words of n bytes each, step by step for all of them."""
+        model = self.model
+        base, check, value, score = model.arrays()
+        raw = np.frombuffer("".join(marked).encode(), np.uint8).reshape(-1, n).astype(np.int64)
+        none = -1 << 62
+        top = np.full((len(raw), n + 1), none)
+        top[:, 0] = 0
+        came = np.zeros((len(raw), n + 1), np.int64)
+        used = np.full((len(raw), n + 1), -1)
+        for at in range(n):
+            rows = np.flatnonzero(top[:, at] != none)
+            if not len(rows):
+                continue
+            here, first = top[rows, at], raw[rows, at]
+            width = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+            alone = np.ones(len(rows), bool)
+            inside, slot = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for end in range(at, n):
+                child = base[slot] + raw[rows[inside], end]
+                goes = check[child] == slot
+                inside, slot = inside[goes], child[goes]
+                if not len(inside):
+                    break
+                ends = value[slot] >= 0
+                mine, piece = inside[ends], value[slot[ends]]
+                alone[mine[width[mine] == end + 1 - at]] = False
+                new = here[mine] + score[piece]
+                better = new > top[rows[mine], end + 1]
+                mine, where = mine[better], rows[mine[better]]
+                top[where, end + 1], came[where, end + 1], used[where, end + 1] = new[better], at, piece[better]
+            lone = np.flatnonzero(alone)
+            new = here[lone] + model.unknown
+            better = new > top[rows[lone], at + width[lone]]
+            where, to = rows[lone[better]], at + width[lone[better]]
+            top[where, to], came[where, to], used[where, to] = new[better], at, -1
+        out = []
+        byte_id = model.byte_id
+        for word, back, ids in zip(raw.tolist(), came.tolist(), used.tolist()):
+            found, at = [], n
+            while at:
+                start = back[at]
+                if ids[at] >= 0:
+                    found.append(ids[at])
+                else:
+                    found += [byte_id[b] for b in reversed(word[start:at])]
+                at = start
+            out.append(found[::-1])
+        return out
 
     def best(self, marked: str) -> list[int]:
         """Ids of the segmentation with the highest sum of scores; of equal ones that with the longer last piece."""
@@ -191,8 +291,6 @@ class Coder:
         return b"".join([words[w] for w in line.split(" ")])
 
     def encode(self, text: str) -> np.ndarray:
-        for cache in (self.words, self.heads, self.chunks):
-            cache.trim()
         if MARK in text:  # a marker of the text itself is spelt in bytes, what follows it has no blank ahead
             spelt = self._ids([self.model.byte_id[b] for b in MARK.encode()])
             parts = text.split(MARK)
@@ -246,7 +344,9 @@ def encode_pieces(documents: DataFrame, vocabulary: str, text: str = "text") ->
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = [coder.encode(v.as_py() or "") for v in part.column(at)]
+                texts = [v or "" for v in part.column(at).to_pylist()]
+                coder.prepare(texts)
+                ids = [coder.encode(t) for t in texts]
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()),
                                                 pa.array(np.concatenate(ids).astype(np.int32)))

@@ -341,6 +341,22 @@ def test_pieces_have_the_best_score(coder):
         assert sum(model.score.get(i, 0) for i in used) + spelt * model.unknown == best(word)
 
 
+def test_words_of_one_length_are_coded_together(coder):
+    draw = random.Random(12)
+    letters = "abcdefghinorstu" * 3 + "éßñ日本𝄞½_-'1" + pieces.MARK
+    words = {"".join(draw.choice(letters) for _ in range(draw.randrange(1, 12))) for _ in range(4000)}
+    by_length = {}
+    for w in words:
+        by_length.setdefault(len(w.encode()), []).append(w)
+    for n, some in by_length.items():
+        assert coder.best_of_length(some, n) == [coder.best(w) for w in some]
+    texts = [" ".join(draw.choices(sorted(words), k=30)) + "\n" + "  ".join(draw.choices(sorted(words), k=5)) for _ in range(50)]
+    plain = [coder.encode(t).tolist() for t in texts]
+    fresh = pieces.Coder(coder.model)
+    fresh.prepare(texts)
+    assert [fresh.encode(t).tolist() for t in texts] == plain and all(fresh.decode(np.array(i)) == t for i, t in zip(plain, texts))
+
+
 def test_pieces_of_odd_rows(spark, odd):
     rows = pieces.encode_pieces(odd, PIECES).collect()
     assert len(rows) == 9 and all(r.decoded == (r.text or "") for r in rows)
