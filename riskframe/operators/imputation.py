@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RIDGE = 1e-8
 STEPS = 25
+ENOUGH = 1e-3
 
 
 def _sums(rows: DataFrame, x: Sequence[str], y: str, m: int, terms) -> list[list[np.ndarray]]:
@@ -80,22 +81,27 @@ def _linear(known: DataFrame, x: Sequence[str], y: str, m: int, rngs) -> tuple[l
     return fitted, drawn
 
 
-def _logistic(known: DataFrame, x: Sequence[str], y: str, m: int, rngs) -> list:
-    """Coefficients of every imputation drawn around their maximum; a weak ridge keeps separated data finite."""
+def _logistic(known: DataFrame, x: Sequence[str], y: str, m: int, rngs, start: list | None) -> tuple[list, list]:
+    """Estimated and drawn coefficients of every imputation; a weak ridge keeps separated data finite.
+
+    Steps end when the likelihood has no more than ENOUGH to gain; `start` are the estimates of the sweep before.
+    """
     p = len(x) + 1
-    now = [np.zeros(p) for _ in range(m)]
+    now = start or [np.zeros(p) for _ in range(m)]
     h: list[np.ndarray] = []
     for _ in range(STEPS):
         def terms(k, a, b, now=now):
             chance = 1 / (1 + np.exp(-np.clip(a @ now[k - 1], -500, 500)))
             return [(a * (chance * (1 - chance))[:, None]).T @ a, a.T @ (b - chance), (a * a).sum(0)]
         sums = _sums(known, x, y, m, terms)
-        h = [s[0].reshape(p, p) + np.diag(1e-4 * s[2] / max(s[2][0], 1)) for s in sums]
-        steps = [_solve(a, s[1] - 1e-4 * s[2] / max(s[2][0], 1) * b) for a, s, b in zip(h, sums, now)]
+        ridge = [1e-4 * s[2] / max(s[2][0], 1) for s in sums]
+        h = [s[0].reshape(p, p) + np.diag(r) for s, r in zip(sums, ridge)]
+        slopes = [s[1] - r * b for s, r, b in zip(sums, ridge, now)]
+        steps = [_solve(a, g) for a, g in zip(h, slopes)]
         now = [b + np.clip(d, -5, 5) for b, d in zip(now, steps)]
-        if max(np.abs(d).max() for d in steps) < 1e-6:
+        if max(g @ d / 2 for g, d in zip(slopes, steps)) < ENOUGH:
             break
-    return [b + _posterior(a, 1.0, rng) for b, a, rng in zip(now, h, rngs)]
+    return now, [b + _posterior(a, 1.0, rng) for b, a, rng in zip(now, h, rngs)]
 
 
 def _predicted(betas: Sequence[np.ndarray], x: Sequence[str]) -> Column:
@@ -150,6 +156,7 @@ def impute_multiple(df: DataFrame, methods: Mapping[str, str], row_id: str, m: i
         work = work.withColumn(flags[c], F.col(a).isNull().cast("int")).withColumn(a, F.coalesce(F.col(a), start))
     tables = Tables(spark, "imputation")
     work = tables.keep(work)
+    estimates: dict[str, list] = {}
     for sweep in range(iters):
         for i, c in enumerate(targets):
             y, x = plain[c], [a for a in plain.values() if a != plain[c]]
@@ -160,7 +167,8 @@ def impute_multiple(df: DataFrame, methods: Mapping[str, str], row_id: str, m: i
                 pred = F.when(F.col(flags[c]) == 0, _predicted(fitted, x)).otherwise(_predicted(drawn, x))
                 work = _matched(tables.keep(work.withColumn("_pred", pred)), y, flags[c], row_id, tag, donors)
             else:
-                pred = _predicted(_logistic(known, x, y, m, rngs), x)
+                estimates[c], drawn = _logistic(known, x, y, m, rngs, estimates.get(c))
+                pred = _predicted(drawn, x)
                 hit = (uniform(F.lit(tag), "imputation", row_id) < 1 / (1 + F.exp(-pred))).cast("double")
                 work = work.withColumn(y, F.when(F.col(flags[c]) == 1, hit).otherwise(F.col(y)))
             work = tables.keep(work)
