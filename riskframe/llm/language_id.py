@@ -8,6 +8,7 @@ over its words. The probabilities are learned by expectation maximisation over t
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,9 @@ SCALE = 30.0  # times each character, so that products stay in range
 MARK = "▁"
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+# \w takes numbers that are no digits, such as fractions and Roman numerals, for letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
 
 
 def words_of(text: str) -> list[str]:

@@ -91,6 +91,12 @@ def test_language_of_odd_texts(spark, odd):
     assert language_id.predict(odd, language_id.fit(odd.limit(0), PIECES)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_are_no_numbers():
+    assert language_id.words_of("½ ² Ⅷ 12 _ ٣ aß一x²y") == ["aß一x", "y"]
+    assert all(language_id.words_of(chr(c)) == ([chr(c).lower()] if chr(c).isalpha() and chr(c).lower().isalpha() else [])
+               for c in range(0x3000) if len(chr(c).lower()) == 1)
+
+
 # --- 2 lines
 
 def lines_by_hand(rows, run):
