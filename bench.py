@@ -21,6 +21,7 @@ HEADLINE = [
     "a25_box_stats", "w5_midranks_by", "d1_entity_profile", "d4_relative_risk", "d5_entity_risk", "d8_quadrants",
     "m9_oe_within_entity", "e2_calibration_se", "e5_roc_curve", "e6_auc", "f1_dummies_full", "f2_design_matrix",
     "i1_binom_test_by", "i3_wilcoxon_by", "i5_permutation_cases", "i6_bootstrap_rr", "i6_bootstrap_poisson", "i8_svy_mean",
+    "i5_permutation_case_values", "i6_bootstrap_totals",
     "m7_fit_random_intercept", "m3_fit_risk_rf",
 ]
 
