@@ -28,3 +28,11 @@ def test_a_group_of_copies_keeps_other_entries(spark, alike):
         assert len(found) < 20
     starts = {e[:-1] for e in found if e.endswith("*")}
     assert not [e for e in found for k in range(1, len(e.rstrip("*"))) if e.rstrip("*")[:k] in starts]
+
+
+def test_a_group_of_copies_is_sampled_in_part(spark):
+    from riskframe.llm import quality_rank
+    rows = [(i, "one good text, the same for all.", 1) for i in range(3000)] + [(5000 + i, f"bad !!! {i}", 0) for i in range(3000)]
+    model = quality_rank.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"), sample_rows=1000)
+    scores = {r.doc_id: r.score for r in quality_rank.rank(spark.createDataFrame(rows[:1] + rows[-1:], "doc_id long, text string, quality int"), model).collect()}
+    assert scores[0] > quality_rank.CUT > scores[7999]
