@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import aggregate, complete, if_else, n_distinct_with_null
 from ..functions.scalar import cut_bins, fmt_mean_sd
+from ..lineage import cut
 from .ordered import quantiles
 
 def _keys(by: str | Sequence[str] | None) -> list[str]:
@@ -122,6 +123,7 @@ def exceed_prob(reps: DataFrame, threshold: float, entity: str = "entity", value
 
 def headline(cases: DataFrame, entity_risk: DataFrame, threshold: float = 2.0) -> DataFrame:
     """One row of headline numbers from the cases and the entity table (entity, rate, rr)."""
+    entity_risk = cut(entity_risk)  # three passes
     totals = cases.agg(F.count_distinct("entity").alias("n_entities"), _rows().alias("n_cases"),
                        F.sum("cohort").alias("n_cohort"))
     rate = quantiles(entity_risk, "rate", [0.0, 0.5, 1.0], names=["min_rate", "median_rate", "max_rate"])

@@ -1,6 +1,6 @@
 """Tables that several steps read are computed once."""
 
-from riskframe.plans import models_q
+from riskframe.plans import catalog, models_q
 from riskframe.plans.registry import Inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -12,3 +12,7 @@ def reads_lines(df):
 
 def test_entity_table_is_computed_once(spark):
     assert not reads_lines(models_q.entity_table(Inputs(spark, SMALL)))
+
+
+def test_headline_reads_its_cases_once(spark):
+    assert not reads_lines(catalog.QUERIES["a14_headline"](spark, SMALL))
