@@ -1,8 +1,9 @@
 """Multiple imputation by chained equations, with draws of the models' coefficients, and pooling of the results.
 
 The imputations are one table with a number, so every pass serves all of them. A column is filled from a model of all
-others: the cross products of the rows where it is known are summed in one pass for each step, the coefficients are
-drawn from their posterior on the driver, and rows are filled where they lie.
+others: equal rows where it is known are one cell, the cross products of the cells are summed in one pass for each
+step, the coefficients are drawn from their posterior on the driver, and rows are filled where they lie. Rows without a
+missing value stay in one table; only the others are written for each imputation.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import uniform
-from ..lineage import Tables, cut, spread
-from .ordered import row_index, running_sums
+from ..lineage import Tables, spread
+from .features import known_cells, take_donors
 
 # Ship these helpers with the task, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,23 +28,24 @@ STEPS = 25
 ENOUGH = 1e-3
 
 
-def _sums(rows: DataFrame, x: Sequence[str], y: str, m: int, terms) -> list[list[np.ndarray]]:
-    """terms(k, X, y) gives arrays; their sums over the rows of every imputation k, X with a first column of ones."""
+def _sums(cells: DataFrame, x: Sequence[str], y: str, m: int, terms) -> list[list[np.ndarray]]:
+    """terms(k, X, y, n) gives arrays; their sums over the cells of every imputation k, each of n equal rows, X with a
+    first column of ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, len(x) + 2)]
-            matrix, known = np.stack([np.ones(len(batch)), *columns[:-1]], 1), columns[-1]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, len(x) + 3)]
+            matrix, known, size = np.stack([np.ones(len(batch)), *columns[:-2]], 1), columns[-2], columns[-1]
             number = batch.column(0).to_numpy()
             for k in np.unique(number).tolist():
-                part = terms(k, matrix[number == k], known[number == k])
+                part = terms(k, matrix[number == k], known[number == k], size[number == k])
                 total[k] = [a + b for a, b in zip(total[k], part)] if k in total else part
         for k, arrays in total.items():
             for i, a in enumerate(arrays):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(a.size, k, np.int32)), pa.array(np.full(a.size, i, np.int32)),
                      pa.array(np.arange(a.size, dtype=np.int32)), pa.array(np.ravel(a).astype(float))], names=["k", "i", "at", "v"])
-    got = (rows.select("imputation", *x, y).mapInArrow(run, "k int, i int, at int, v double").groupBy("k", "i", "at")
+    got = (cells.select("imputation", *x, y, "_n").mapInArrow(run, "k int, i int, at int, v double").groupBy("k", "i", "at")
            .agg(F.sum("v").alias("v")).orderBy("k", "i", "at").collect())
     out: list[list[list[float]]] = [[] for _ in range(m)]
     for r in got:
@@ -68,7 +70,7 @@ def _solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def _linear(known: DataFrame, x: Sequence[str], y: str, m: int, rngs) -> tuple[list, list]:
     """Estimated and drawn coefficients of every imputation."""
-    sums = _sums(known, x, y, m, lambda k, a, b: [a.T @ a, a.T @ b, np.array([b @ b, len(b)])])
+    sums = _sums(known, x, y, m, lambda k, a, b, n: [(a * n[:, None]).T @ a, a.T @ (n * b), np.array([b @ (n * b), n.sum()])])
     p = len(x) + 1
     fitted, drawn = [], []
     for (h, g, (yy, n)), rng in zip(sums, rngs):
@@ -90,9 +92,9 @@ def _logistic(known: DataFrame, x: Sequence[str], y: str, m: int, rngs, start: l
     now = start or [np.zeros(p) for _ in range(m)]
     h: list[np.ndarray] = []
     for _ in range(STEPS):
-        def terms(k, a, b, now=now):
+        def terms(k, a, b, n, now=now):
             chance = 1 / (1 + np.exp(-np.clip(a @ now[k - 1], -500, 500)))
-            return [(a * (chance * (1 - chance))[:, None]).T @ a, a.T @ (b - chance), (a * a).sum(0)]
+            return [(a * (n * chance * (1 - chance))[:, None]).T @ a, a.T @ (n * (b - chance)), (a * a * n[:, None]).sum(0)]
         sums = _sums(known, x, y, m, terms)
         ridge = [1e-4 * s[2] / max(s[2][0], 1) for s in sums]
         h = [s[0].reshape(p, p) + np.diag(r) for s, r in zip(sums, ridge)]
@@ -113,23 +115,6 @@ def _predicted(betas: Sequence[np.ndarray], x: Sequence[str]) -> Column:
     return out
 
 
-def _matched(rows: DataFrame, y: str, missing: str, row_id: str, tag: str, donors: int) -> DataFrame:
-    """Rows with `_pred`: each missing value becomes that of a random one of the nearest known predictions."""
-    known = F.col(missing) == 0
-    keys = ["imputation", "_pred"]
-    per = rows.groupBy(*keys).agg(F.sum(known.cast("bigint")).alias("_d"))
-    at = running_sums(per, "_pred", ["_d"], ["imputation"]).select(
-        *keys, F.col("prev__d").alias("_before"), "_d", F.col("all__d").alias("_all"))
-    donor_rows = rows.where(known).select(row_id, *keys, F.col(y).alias("_value"))
-    numbered = (row_index(donor_rows, row_id, keys, name="_i").join(at, keys)
-                .select("imputation", (F.col("_before") + F.col("_i")).alias("_rank"), "_value"))
-    half = donors // 2
-    pick = F.col("_before") - half + F.floor(uniform(F.lit(tag), "imputation", row_id) * (F.col("_d") + 2 * half))
-    filled = (rows.where(~known).join(at, keys).withColumn("_rank", F.greatest(F.lit(0), F.least(F.col("_all") - 1, pick)))
-              .join(numbered, ["imputation", "_rank"]).withColumn(y, F.col("_value")))
-    return rows.where(known).unionByName(filled.select(*rows.columns)).drop("_pred")
-
-
 def impute_multiple(df: DataFrame, methods: Mapping[str, str], row_id: str, m: int = 3, iters: int = 5, seed: int = 1,
                     donors: int = 5, exclude: Sequence[str] = ()) -> DataFrame:
     """m completed copies of df, told apart by the column `imputation` (from 1).
@@ -146,34 +131,41 @@ def impute_multiple(df: DataFrame, methods: Mapping[str, str], row_id: str, m: i
         raise ValueError(f"unknown methods {sorted(unknown)}")
     means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(str(i)) for i, c in enumerate(targets)]).first()
     plain = {c: f"_x{i}" for i, c in enumerate(c for c in df.columns if c not in (row_id, *exclude))}
-    work = spread(df.select(row_id, *exclude, *[F.col(f"`{c}`").cast("double").alias(a) for c, a in plain.items()])).withColumn(
-        "imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
-    flags = {}
+    work = spread(df.select(row_id, *exclude, *[F.col(f"`{c}`").cast("double").alias(a) for c, a in plain.items()]))
+    flags = {c: f"_na{i}" for i, c in enumerate(targets)}
+    stay, tables = Tables(spark, "imputed"), Tables(spark, "imputation")
+    whole = stay.keep(work.withColumns({flags[c]: F.col(plain[c]).isNull().cast("int") for c in targets}))
+    gaps = sum((F.col(x) for x in flags.values()), F.lit(0))
+    number = F.explode(F.sequence(F.lit(1), F.lit(m))).alias("imputation")
+    cells = stay.keep(whole.where(gaps == 0).groupBy(*plain.values()).agg(F.count(F.lit(1)).alias("_n"))).select("*", number)
+    fixed, work = whole.where(gaps == 0).select("*", number), whole.where(gaps > 0).select("*", number)
     for i, c in enumerate(targets):
-        a, flags[c] = plain[c], f"_na{i}"
         chance = uniform(F.lit(f"{seed}:start:{i}"), "imputation", row_id)
         start = F.lit(means[i]) if methods[c] == "pmm" else (chance < means[i]).cast("double")
-        work = work.withColumn(flags[c], F.col(a).isNull().cast("int")).withColumn(a, F.coalesce(F.col(a), start))
-    tables = Tables(spark, "imputation")
+        work = work.withColumn(plain[c], F.coalesce(F.col(plain[c]), start))
     work = tables.keep(work)
     estimates: dict[str, list] = {}
     for sweep in range(iters):
         for i, c in enumerate(targets):
-            y, x = plain[c], [a for a in plain.values() if a != plain[c]]
-            known, tag = work.where(F.col(flags[c]) == 0), f"{seed}:{sweep}:{i}"
+            y, missing, x = plain[c], flags[c], [a for a in plain.values() if a != plain[c]]
+            known = tables.keep(known_cells(cells, work, y, missing, list(plain.values()), ["imputation"]))
+            draw = uniform(F.lit(f"{seed}:{sweep}:{i}"), "imputation", row_id)
             rngs = [np.random.default_rng([seed, sweep, i, k]) for k in range(m)]
             if methods[c] == "pmm":
                 fitted, drawn = _linear(known, x, y, m, rngs)
-                pred = F.when(F.col(flags[c]) == 0, _predicted(fitted, x)).otherwise(_predicted(drawn, x))
-                work = _matched(tables.keep(work.withColumn("_pred", pred)), y, flags[c], row_id, tag, donors)
+                donor = ["imputation", row_id, _predicted(fitted, x).alias("_pred"), F.col(y).alias("_value")]
+                pool = fixed.select(*donor).unionByName(work.where(F.col(missing) == 0).select(*donor))
+                empty = work.where(F.col(missing) == 1).withColumn("_pred", _predicted(drawn, x))
+                filled = take_donors(pool, empty, y, row_id, draw, donors, tables, ["imputation"])
+                work = work.where(F.col(missing) == 0).unionByName(filled)
             else:
                 estimates[c], drawn = _logistic(known, x, y, m, rngs, estimates.get(c))
-                pred = _predicted(drawn, x)
-                hit = (uniform(F.lit(tag), "imputation", row_id) < 1 / (1 + F.exp(-pred))).cast("double")
-                work = work.withColumn(y, F.when(F.col(flags[c]) == 1, hit).otherwise(F.col(y)))
+                hit = (draw < 1 / (1 + F.exp(-_predicted(drawn, x)))).cast("double")
+                work = work.withColumn(y, F.when(F.col(missing) == 1, hit).otherwise(F.col(y)))
             work = tables.keep(work)
             tables.drop(last=1)
-    out = cut(work.select("imputation", row_id, *exclude, *[F.col(a).alias(c) for c, a in plain.items()]))
+    out = fixed.unionByName(stay.keep(work)).select(
+        "imputation", row_id, *exclude, *[F.col(a).alias(c) for c, a in plain.items()])
     tables.drop()
     return out
 
