@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as sf
+
 from riskframe.lineage import checkpoint_dir
 from riskframe.operators import features as f
 from riskframe.plans import catalog, models_q
@@ -38,3 +40,15 @@ def test_sweeps_leave_no_tables(spark):
         assert f.impute_chained(df, {"b": "logreg"}, "id", iters=sweeps).where("b IS NULL").count() == 0
         left.append(len(set(files(spark)) - before))
     assert left[1] <= left[0]
+
+
+def test_cases_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @sf.udf("double")
+    def risk(x):
+        seen.add(1)
+        return x / 100
+
+    df = spark.range(100).select(risk("id").alias("risk"), (sf.col("id") % 2).alias("outcome"))
+    assert models_q.quality(df, "any").first().n == 100 and seen.value == 100
