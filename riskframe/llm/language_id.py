@@ -32,12 +32,19 @@ UNDETERMINED = "und"
 
 # \w takes numbers that are no digits, such as fractions and Roman numerals, for letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_BLANKED = dict.fromkeys(map(ord, _NUMBERS), " ")
+# A class tries its characters beyond the basic plane one by one, so all of that plane only leads to a closer look.
+_SUSPECT = re.compile("[%s\U00010000-\U0010FFFF]" % "".join(c for c in _NUMBERS if c < "\U00010000")).search
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
+def _runs(text: str) -> list[str]:
+    return _LETTERS(text if text.isascii() or not _SUSPECT(text) else text.translate(_BLANKED))
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case, whole texts; runs over LONGEST_WORD letters are cut into that many each."""
-    words = _LETTERS(text.lower())
+    words = _runs(text.lower())
     if len(text) > LONGEST_WORD and max(map(len, words), default=0) > LONGEST_WORD:
         words = [w[i:i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
     return words
@@ -51,32 +58,36 @@ class Vocabulary:
         model = SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())
                   if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        usable = [p for p in pieces if p.strip(MARK) and _LETTERS(p.replace(MARK, "")) == [p.replace(MARK, "")]]
+        usable = [p for p in pieces if p.strip(MARK) and _runs(p.replace(MARK, "")) == [p.replace(MARK, "")]]
         self.number = {p: i + 1 for i, p in enumerate(dict.fromkeys(p.lower() for p in usable))}
         self.longest = max(map(len, self.number))
-        #: Piece numbers, and 0 for what only begins a piece.
-        self.begins = {p[:k]: 0 for p in self.number for k in range(1, len(p))} | self.number
+        letters = sorted(set().union(*self.number))
+        #: Letters by code point, 0 for any other; beginnings of pieces (0 the empty one) by beginning and next letter.
+        self.letter = np.zeros(sys.maxunicode + 1, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        place = {b: i for i, b in enumerate(dict.fromkeys(p[:k] for p in self.number for k in range(len(p) + 1)))}
+        steps = sorted((place[b[:-1]] * (len(letters) + 1) + int(self.letter[ord(b[-1])]), i) for b, i in place.items() if b)
+        self.steps, self.after = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+        #: Piece numbers of beginnings, -1 for what only begins a piece.
+        self.piece = np.array([self.number.get(b, -1) for b in place], np.int32)
+        self.width = len(letters) + 1
 
     def spans(self, words: list[str]) -> np.ndarray:
         """Piece numbers (word, start, length - 1) of equally long marked words; -1 where there is no piece."""
         n = len(words[0])
         width = min(n, self.longest)
-        out = np.full(len(words) * n * width, -1, np.int32)
-        get = self.begins.get
-        places, numbers = [], []
-        cell = 0
-        for word in words:
-            for i in range(n):
-                for end in range(i + 1, min(n, i + width) + 1):
-                    piece = get(word[i:end])
-                    if piece is None:
-                        break
-                    if piece:
-                        places.append(cell + end - i - 1)
-                        numbers.append(piece)
-                cell += width
-        out[places] = numbers
-        out = out.reshape(len(words), n, width)
+        out = np.full((len(words), n, width), -1, np.int32)
+        letter = self.letter[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, n)
+        for start in range(n):
+            rows, begun = np.arange(len(words)), np.zeros(len(words), np.int64)
+            for size in range(1, min(width, n - start) + 1):
+                step = begun * self.width + letter[rows, start + size - 1]
+                at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+                there = self.steps[at] == step
+                rows, begun = rows[there], self.after[at[there]]
+                if not len(rows):
+                    break
+                out[rows, start, size - 1] = self.piece[begun]
         single = out[:, :, 0]
         single[single < 0] = 0
         return out

@@ -97,6 +97,38 @@ def test_letters_are_no_numbers():
                for c in range(0x3000) if len(chr(c).lower()) == 1)
 
 
+def test_rare_numbers_cost_no_time_where_there_are_none():
+    """Numbers beyond the basic plane were tried one by one for every letter."""
+    import re
+    import time
+    text = "straße und häuser " * 50_000
+    plain = re.compile(r"[^\W\d_]+").findall
+
+    def least(run):
+        times = []
+        for _ in range(5):
+            start = time.perf_counter()
+            run(text)
+            times.append(time.perf_counter() - start)
+        return min(times)
+    assert language_id.words_of(text) == plain(text)
+    assert least(language_id.words_of) < 4 * least(plain)
+    assert language_id.words_of("a\U00010107b \U00011FC0 c\U0001F600d \U00010428e") == ["a", "b", "c", "d", "\U00010428e"]
+
+
+def test_spans_are_all_pieces_of_a_word():
+    known = language_id.Vocabulary(PIECES)
+    for words in (["▁straße", "▁xq漢字\U00010428é"], ["▁a", "▁漢"], ["▁" + "internationalisation" * 3]):
+        found = known.spans(words)
+        assert found.shape == (len(words), len(words[0]), min(len(words[0]), known.longest))
+        for w, word in enumerate(words):
+            for i in range(len(word)):
+                for k in range(found.shape[2]):
+                    part = word[i:i + k + 1]
+                    want = known.number.get(part, 0 if k == 0 else -1) if len(part) == k + 1 else -1
+                    assert found[w, i, k] == want
+
+
 # --- 2 lines
 
 def lines_by_hand(rows, run):
