@@ -94,6 +94,14 @@ def test_margins_are_written_between_rounds(spark, rows, monkeypatch):
     assert [got[r["id"]] for r in rows] == pytest.approx(by_hand(rows, setting, 5), abs=1e-5)
 
 
+def test_no_pass_walks_the_trees_of_earlier_rounds(spark, rows, monkeypatch):
+    behind, pass_ = [], b._pass
+    monkeypatch.setattr(b, "_pass", lambda cells, fits, *a, **k: behind.extend(len(f.trees) - f.kept for f in fits.values())
+                        or pass_(cells, fits, *a, **k))
+    b.fit_boosted(table(spark, rows), NAMES, "y", b.Setting(step=0.3, depth=2), 4)
+    assert behind and not any(behind)
+
+
 def test_large_penalty_leaves_no_split(spark, rows):
     model = b.fit_boosted(table(spark, rows), NAMES, "y", b.Setting(gamma=1e6), 2)
     assert [len(t.nodes()) for t in model.trees] == [1, 1]
