@@ -158,7 +158,7 @@ def _toxicity(table):
 
 @query("op10_quality_rank")
 def _quality_rank(table):
-    documents = table("documents").select("doc_id", "text")
+    documents = quality_rank.measure(table("documents").select("doc_id", "text"))
     known = table("labels").where(remainder(5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     model = quality_rank.fit(documents.join(known, "doc_id"))
     return _judged(quality_rank.rank(documents, model), quality_rank.CUT)

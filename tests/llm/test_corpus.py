@@ -420,6 +420,30 @@ def test_classifiers_on_odd_rows(spark, odd):
         assert got.count() == 9 and got.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_quality_weights_are_those_of_all_pairs_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        good = rng.random() < 0.6
+        words = [rng.choice(["alpha", "beta", "gamma.", "DELTA", "7", "|"][:3 if good and rng.random() < 0.7 else 6]) for _ in range(rng.randint(3, 60))]
+        rows.append((" ".join(words), int(good)))
+    model = quality_rank.fit(spark.createDataFrame([*rows, ("none", None)], "text string, quality int").repartition(3))
+    x, y = np.array([quality_rank.features(t) for t, _ in rows]), np.array([q for _, q in rows])
+    scale = x.std(0)
+    scale[scale < 1e-9] = 1.0
+    z = (x - x.mean(0)) / scale
+    gap = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    weights = np.zeros(z.shape[1])
+    for _ in range(30):
+        wrong = 1 / (1 + np.exp(gap @ weights))
+        bend = (gap * (wrong * (1 - wrong))[:, None]).T @ gap / len(gap) + quality_rank.PENALTY * np.eye(len(weights))
+        weights = weights + np.linalg.solve(bend, gap.T @ wrong / len(gap) - quality_rank.PENALTY * weights)
+    assert model.weights == pytest.approx(weights, abs=2e-3)
+    raw = np.sort(z @ model.weights)
+    assert model.cut == pytest.approx(raw[(y == 0).sum() - 1:][:2].mean(), abs=1e-9)
+    assert model.spread == pytest.approx(max(1.0, raw.std()))
+
+
 # --- the pipeline
 
 def test_pipeline_stages_on_small_tables(spark):
