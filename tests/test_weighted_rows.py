@@ -38,6 +38,18 @@ def test_rows_stay_where_few_are_equal(spark, cases):
     assert sorted(((r.a, r.y) for r in m.weighted_rows(nulls, ["a", "y"]).distinct().collect()), key=str) == [(0.5, 0), (None, 1)]
 
 
+@pytest.mark.parametrize("fit", [lambda df: m.fit_counterfactual(df, ["a", "b", "c"], "y", "cohort", rounds=8, depth=4),
+                                 lambda df: m.fit_risk_gbt(df, ["a", "b", "c"], "y", rounds=4, depth=4)])
+def test_model_is_that_of_the_rows(cases, monkeypatch, fit):
+    new = fit(cases)
+    monkeypatch.setattr(m, "FEWER", 10**9)
+    old = fit(cases)
+    assert new.stages[-1].getOrDefault("weightCol") == m.WEIGHT and not old.stages[-1].isDefined("weightCol")
+    assert new.stages[-1].getNumTrees == old.stages[-1].getNumTrees
+    both = m.score(new, m.score(old, cases, "before"), "now")
+    assert both.where("abs(before - now) > 1e-9").count() == 0 and both.agg(F.count_distinct("now")).first()[0] > 10
+
+
 def test_searches_are_those_of_the_rows(cases, monkeypatch):
     grid = {"maxDepth": [2, 4], "minInstancesPerNode": [1, 60, 700, 1500]}
 
