@@ -136,3 +136,16 @@ def test_many_values_are_binned_by_quantiles(spark):
     cuts = b.feature_cuts(df, ["x"], bins=16)
     assert 8 <= len(cuts[0]) <= 15
     assert b.fit_boosted(df, ["x"], "y", rounds=3, bins=16).score(df).where("(risk > 0.5) <> (y = 1)").count() < 130
+
+
+@pytest.mark.parametrize("patience", [2, None])
+def test_settings_grown_in_tasks_equal_those_of_shared_passes(spark, rows, monkeypatch, patience):
+    df = table(spark, rows)
+    grid = [b.Setting(0.3, d, g, c) for d in (0, 1, 4) for g in (0.0, 1.0, 4.0) for c in (1.0, 3.0)]
+    passes, pass_ = [], b._pass
+    monkeypatch.setattr(b, "_pass", lambda *a, **k: passes.append(1) or pass_(*a, **k))
+    apart = b.cv_boosted(df, NAMES, "y", "id", grid, rounds=6, k=3, patience=patience).collect()
+    assert not passes
+    monkeypatch.setattr(b, "LOCAL_BYTES", 0)
+    shared = b.cv_boosted(df, NAMES, "y", "id", grid, rounds=6, k=3, patience=patience).collect()
+    assert passes and apart == shared and len({round(r.auc, 6) for r in apart}) > 10
